@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
+from .digests import op4_digests
+from .langid import op6_langid
+from .lines import op5_line_dedup
 from .packing import op1_packing
+from .secrets import op2_secrets, op2_sql
+from .simhash import op9_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_secrets": op2_secrets,
+        "op4_digests": op4_digests,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_langid": op6_langid,
+        "op9_simhash": op9_simhash,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_secrets": op2_sql(),
+    }
