@@ -12,6 +12,7 @@ the r-th piece of a length takes the r-th slot of that length.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from array import array
@@ -26,12 +27,12 @@ from .common import Memo, in_groups, materialize, read_table, text_or_empty
 
 END_ID = 1
 #: Entries of a generation of a worker's memo of words.
-CACHE_WORDS = 400_000
-_BLANKS = str.maketrans("\n\t\r", "   ")
-#: Here Unicode's categories are settled, nothing combines, and lower case is letter by letter.
-_PLAIN = re.compile("[!-įı-ɏ]+")
-#: The word pattern in the vocabulary file's pre-tokenizer, on lower-case text.
-_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CACHE_WORDS = 200_000
+#: Outside these characters, Unicode's categories or the vocabulary's normalizer may matter.
+_ODD = re.compile("[^\t\n\r -~¡-©«-±´¶-¸»¿-įı-ſ]")
+#: The word pattern of the vocabulary file's pre-tokenizer, for lower-case text without odd characters.
+_WORD = re.compile("[a-zß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
+_BLANKS = re.compile("[ \t\n\r]+")
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -39,36 +40,56 @@ class WordEncoder:
     """Token ids of texts, with a memo by word.
 
     The vocabulary's pre-tokenizer never joins across white space, so a
-    text's ids are those of its words in turn. Words that the memo lacks are
-    cut at the pattern and sent to the library in one call.
+    text's ids are those of its words in turn. Words without odd characters
+    are cut here, and those that the memo lacks encoded by the library in one
+    call without normalizer and pattern; other words go to the library whole.
     """
 
     def __init__(self, vocabulary: str):
-        import regex
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_str(vocabulary)
-        self.tok.encode_special_tokens = True
-        self.pattern = regex.compile(_WORD)
-        self.words = Memo(CACHE_WORDS, self._of_words)
-        self.parts = Memo(CACHE_WORDS, self._of_parts)
-
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        cut = []
-        for w in words:
-            low = w.lower()
-            cut.append(self.pattern.findall(low) if _PLAIN.fullmatch(w) and _PLAIN.fullmatch(low) else [w])
-        known = self.parts.holding(set().union(*cut))
-        return [b"".join([known[p] for p in parts]) for parts in cut]
+        rules = json.loads(vocabulary)
+        self.full = Tokenizer.from_str(vocabulary)
+        self.full.encode_special_tokens = True
+        bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": bare}))
+        self.bare.encode_special_tokens = True
+        vocab = rules["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(rules["model"]["end_of_word_suffix"])]] = True
+        self.known = Memo(CACHE_WORDS, self._learn)
+
+    def _learn(self, words: list[str]) -> Iterator[bytes]:
+        odd = [w for w in words if _ODD.search(w)]
+        found = {w: array("I", e.ids).tobytes() for w, e in zip(odd, self.full.encode_batch_fast(odd, add_special_tokens=False), strict=True)}
+        plain = [w for w in words if w not in found] if odd else words
+        if plain:
+            ids = np.array(self.bare.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw, at = ids.tobytes(), 0
+            if len(cuts) != len(plain):
+                raise AssertionError("a word without an end token")
+            for w, end in zip(plain, cuts, strict=True):
+                found[w] = raw[at:end]
+                at = end
+        return (found[w] for w in words)
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        if not _ODD.search(text):
+            return _WORD.findall(text.lower())
+        out = []
+        for w in _BLANKS.split(text):
+            if _ODD.search(w):
+                out.append(w)
+            else:
+                out += _WORD.findall(w.lower())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts."""
-        words = [t.translate(_BLANKS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words.holding(set().union(*words))
+        words = [self._words(t) for t in texts]
+        known = self.known.holding(set().union(*words))
         return [b"".join([known[w] for w in x]) for x in words]
 
 
