@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) is a
-    temporary folder made, and then used for the whole application.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="mimiq-")
-    return _OWN_DIRS[app]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    What follows starts from the files: an executor lost later costs no
-    recomputation of ``df``, and a nondeterministic step is settled.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mimiq-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import materialize, shared_dir
 
+__all__ = ["Memo", "fresh_name", "in_groups", "materialize", "read_table", "shared_dir", "text_or_empty"]
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_groups, materialize, read_table, text_or_empty
-from .components import connected_components
+from ..operators.graph import connected_components
 
 BITS = 64
 SEED = 42
