@@ -1,8 +1,12 @@
-"""Rotations as column expressions. A matrix is an array of nine numbers by rows."""
+"""Rotations as column expressions. A matrix is an array of nine numbers by rows.
+
+Values that a formula uses often are bound once (``_let``): Spark would write
+them out at each place, and formulas in formulas would grow without end.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,21 +16,22 @@ def _at(matrix: Column, r: int, c: int) -> Column:
     return F.element_at(matrix, 3 * r + c + 1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _cap(x: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
 
 
-def matrix_of_rotvec(x: Column, y: Column, z: Column) -> Column:
+def _matrix_of_rotvec(v: Column) -> Column:
     """Rotation by the length of the vector about its direction; a zero vector is the identity."""
-    angle = F.sqrt(x * x + y * y + z * z)
-    safe = F.when(angle > 0, angle).otherwise(1.0)
-    u = [v / safe for v in (x, y, z)]
-    c, s = F.cos(angle), F.sin(angle)
+    u, c, s = [v["x"], v["y"], v["z"]], v["c"], v["s"]
     cross = [[None, -u[2], u[1]], [u[2], None, -u[0]], [-u[1], u[0], None]]
     return F.array(*[c + (1 - c) * u[i] * u[i] if i == j else (1 - c) * u[i] * u[j] + s * cross[i][j] for i in range(3) for j in range(3)])
 
 
-def rotvec_of_matrix(m: Column) -> Column:
+def _rotvec_of_matrix(m: Column) -> Column:
     """struct<x,y,z>: near no turn half the skew part, near a half turn from the matrix's symmetric part, else by the sine."""
     angle = F.acos(_cap((_at(m, 0, 0) + _at(m, 1, 1) + _at(m, 2, 2) - 1) / 2))
     skew = [_at(m, 2, 1) - _at(m, 1, 2), _at(m, 0, 2) - _at(m, 2, 0), _at(m, 1, 0) - _at(m, 0, 1)]
@@ -43,7 +48,7 @@ def rotvec_of_matrix(m: Column) -> Column:
     return F.struct(*out)
 
 
-def quaternion_of_matrix(m: Column) -> Column:
+def _quaternion_of_matrix(m: Column) -> Column:
     """struct<w,x,y,z> of length one, from the largest of four candidates."""
     d = [_at(m, k, k) for k in range(3)]
     trace = d[0] + d[1] + d[2]
@@ -61,11 +66,15 @@ def quaternion_of_matrix(m: Column) -> Column:
         .when(d[1] > d[2], of(1 + d[1] - d[0] - d[2], (b, e, None, g)))
         .otherwise(of(1 + d[2] - d[0] - d[1], (c, f, g, None)))
     )
-    size = F.sqrt(F.aggregate(found, F.lit(0.0), lambda s, x: s + x * x))
-    return F.struct(*[(F.element_at(found, k + 1) / size).alias(n) for k, n in enumerate("wxyz")])
 
+    def unit(v: Column) -> Column:
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.struct(*[(F.element_at(v, k + 1) / size).alias(n) for k, n in enumerate("wxyz")])
 
-def euler_of_quaternion(q: Column) -> Column:
+    return _let(found, unit)
+
+
+def _euler_of_quaternion(q: Column) -> Column:
     """struct<roll,pitch,yaw> of xyz angles; the sine is clamped."""
     w, x, y, z = (q[n] for n in "wxyz")
     roll = F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))
@@ -78,7 +87,7 @@ def euler_of_rotvec(x: Column, y: Column, z: Column) -> Column:
     return euler_of_quaternion(quaternion_of_matrix(matrix_of_rotvec(x, y, z)))
 
 
-def head_angles_of_matrix(m: Column) -> Column:
+def _head_angles_of_matrix(m: Column) -> Column:
     """struct<pitch,roll,yaw> in radians: about x, about y (named roll) and about z (named yaw), with the locked case apart."""
     sy = F.sqrt(_at(m, 0, 0) * _at(m, 0, 0) + _at(m, 1, 0) * _at(m, 1, 0))
     locked = sy < 1e-6
@@ -87,12 +96,44 @@ def head_angles_of_matrix(m: Column) -> Column:
     return F.struct(pitch.alias("pitch"), F.atan2(-_at(m, 2, 0), sy).alias("roll"), yaw.alias("yaw"))
 
 
-def pose_degrees_of_matrix(m: Column) -> Column:
+def _pose_degrees_of_matrix(m: Column) -> Column:
     """struct<pitch,roll,yaw> in degrees: extrinsic xyz angles a of the transpose, as a0, -a2, -a1."""
     t = F.array(*[_at(m, c, r) for r in range(3) for c in range(3)])
-    a = head_angles_of_matrix(t)
-    return F.struct(F.degrees(a["pitch"]).alias("pitch"), (-F.degrees(a["yaw"])).alias("roll"), (-F.degrees(a["roll"])).alias("yaw"))
+    return _let(head_angles_of_matrix(t), lambda a: F.struct(F.degrees(a["pitch"]).alias("pitch"), (-F.degrees(a["yaw"])).alias("roll"), (-F.degrees(a["roll"])).alias("yaw")))
 
 
 def pose_degrees_of_rotvec(x: Column, y: Column, z: Column) -> Column:
     return pose_degrees_of_matrix(matrix_of_rotvec(x, y, z))
+
+
+def matrix_of_rotvec(x: Column, y: Column, z: Column) -> Column:
+    """array<double> of nine; a zero vector gives the identity."""
+    angle = F.sqrt(x * x + y * y + z * z)
+    safe = F.when(angle > 0, angle).otherwise(1.0)
+    parts = F.struct((x / safe).alias("x"), (y / safe).alias("y"), (z / safe).alias("z"), F.cos(angle).alias("c"), F.sin(angle).alias("s"))
+    return _let(parts, _matrix_of_rotvec)
+
+
+def rotvec_of_matrix(m: Column) -> Column:
+    """struct<x,y,z> of a rotation matrix."""
+    return _let(m, _rotvec_of_matrix)
+
+
+def quaternion_of_matrix(m: Column) -> Column:
+    """struct<w,x,y,z> of a rotation matrix."""
+    return _let(m, _quaternion_of_matrix)
+
+
+def euler_of_quaternion(q: Column) -> Column:
+    """struct<roll,pitch,yaw> of a quaternion."""
+    return _let(q, _euler_of_quaternion)
+
+
+def head_angles_of_matrix(m: Column) -> Column:
+    """struct<pitch,roll,yaw> in radians of a rotation matrix."""
+    return _let(m, _head_angles_of_matrix)
+
+
+def pose_degrees_of_matrix(m: Column) -> Column:
+    """struct<pitch,roll,yaw> in degrees of a rotation matrix."""
+    return _let(m, _pose_degrees_of_matrix)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .frame import q
+from .grouping import map_groups
 
 #: Points of the 68 that the 'inner' registration uses.
 INNER_FACE = tuple(range(17, 68))
@@ -132,11 +133,12 @@ def nms(df: DataFrame, threshold: float, by: Sequence[str] = ("frame",), order_b
     boxes, by, columns = list(boxes), list(by), df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*order_by]).reset_index(drop=True) if order_by else pdf.reset_index(drop=True)
-        return pdf.iloc[greedy_nms(pdf[boxes].to_numpy(float), pdf[score].to_numpy(float), threshold, method, pixel)][columns]
+    def kernel(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        b, s = rows[boxes].to_numpy(float), rows[score].to_numpy(float)
+        kept = [a + greedy_nms(b[a:e], s[a:e], threshold, method, pixel) for a, e in zip(bounds, bounds[1:], strict=False)]
+        return rows.iloc[np.concatenate(kept)][columns]
 
-    return df.groupBy(*map(q, by)).applyInPandas(run, schema)
+    return map_groups(df, by, order_by, kernel, schema)
 
 
 def detections(df: DataFrame, image: str = "image", first_score: float = 0.02, top_k: int = 5000, threshold: float = 0.4, final_score: float = 0.5, keep: int = 750, order_by: Sequence[str] = ("prior",)) -> DataFrame:
@@ -171,10 +173,3 @@ def symmetrize(points: Column, mirror: Sequence[int]) -> Column:
     middle = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(points)
     partner = F.array(*[F.element_at(points, i + 1) for i in mirror])
     return F.zip_with(points, partner, lambda p, m: F.struct(((p["x"] + 2 * middle - m["x"]) / 2).alias("x"), ((p["y"] + m["y"]) / 2).alias("y")))
-
-
-def batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Frames in batches of at most ``size`` rows."""
-    for f in frames:
-        for k in range(0, len(f), size):
-            yield f.iloc[k : k + size]

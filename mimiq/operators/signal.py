@@ -11,11 +11,12 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters
 from .frame import FrameTable, q
+from .grouping import map_groups
 
 MODES = ("complex", "filtered", "phase", "magnitude", "power")
 
@@ -191,18 +192,16 @@ def smooth_boxes(frames: Iterator[np.ndarray], alpha: float, before: np.ndarray
 
 def smooth_box_table(df: DataFrame, alpha: float, stream: str = "input", frame: str = "frame", boxes: Sequence[str] = ("left", "top", "right", "bottom"), tie: Sequence[str] = ()) -> DataFrame:
     """Box columns smoothed along each recording, frame by frame."""
-    boxes = list(boxes)
-    order = Window.partitionBy(q(stream)).orderBy(q(frame), *map(q, tie))
-    numbered = df.withColumn("__i", F.row_number().over(order))
+    boxes, columns = list(boxes), df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    columns = df.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__i").reset_index(drop=True)
-        groups = [g.index for _, g in pdf.groupby(frame, sort=True)]
-        done = smooth_boxes((pdf.loc[g, boxes].to_numpy(float) for g in groups), alpha)
-        for g, (x, _) in zip(groups, done, strict=True):
-            pdf.loc[g, boxes] = x
-        return pdf[columns]
+    def kernel(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        x, at = rows[boxes].to_numpy(float), rows[frame].to_numpy()
+        for a, e in zip(bounds, bounds[1:], strict=False):
+            cuts = [a, *(a + 1 + np.flatnonzero(at[a + 1 : e] != at[a : e - 1])).tolist(), e]
+            for f, g, (new, _) in zip(cuts, cuts[1:], smooth_boxes((x[f:g] for f, g in zip(cuts, cuts[1:], strict=False)), alpha), strict=False):
+                x[f:g] = new
+        rows[boxes] = x
+        return rows[columns]
 
-    return numbered.groupBy(q(stream)).applyInPandas(run, schema)
+    return map_groups(df, [stream], [frame, *tie], kernel, schema)

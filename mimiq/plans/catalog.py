@@ -245,8 +245,8 @@ query("accuracy", "SELECT avg((quality = toxic)::INT) AS accuracy FROM labels")(
 query(
     "macro_f1",
     """WITH p AS (SELECT l_linenumber AS t, 1 + l_partkey % 7 AS p FROM lineitem), c AS (SELECT t AS c FROM p UNION SELECT p FROM p),
-    f AS (SELECT c, (SELECT count(*) FROM p WHERE t = c AND p = c) AS tp, (SELECT count(*) FROM p WHERE t = c) + (SELECT count(*) FROM p WHERE p = c) AS both FROM c)
-    SELECT avg(2.0 * tp / both) AS f1_macro FROM f""",
+    f AS (SELECT c, (SELECT count(*) FROM p WHERE t = c AND p = c) AS tp, (SELECT count(*) FROM p WHERE t = c) + (SELECT count(*) FROM p WHERE p = c) AS n FROM c)
+    SELECT avg(2.0 * tp / n) AS f1_macro FROM f""",
 )(lambda s, d: metrics.f1_macro(table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("t"), (1 + F.col("l_partkey") % 7).cast("long").alias("p")), "t", "p"))
 query(
     "summarize_aus",
@@ -383,7 +383,9 @@ query("subset_semi", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem W
 query("stratified_sample", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY (event_id * 2654435761) % 1000003, event_id) AS r FROM events) WHERE r <= 20")(
     lambda s, d: table(s, d, "events").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy((F.col("event_id") * 2654435761) % 1000003, "event_id"))).filter("r <= 20").select("event_type", "event_id")
 )
-query("flatten_props", "SELECT event_id, props->>'$.' || (SELECT json_keys(props)[1] FROM events LIMIT 1) AS v FROM events" if False else None)(lambda s, d: table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value_text")))
+query("flatten_props", "SELECT event_id, key, props ->> ('$.' || key) AS value_text FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")(
+    lambda s, d: table(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value_text"))
+)
 
 
 def queries() -> dict[str, Query]:
