@@ -138,7 +138,7 @@ def markdown_tables(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     rule = r"^\|[\s:|-]+\|\s*$"
     marked = files.select("path", "row", "line", heading.alias("section"), after.rlike(rule).alias("header"))
     body = marked.filter(F.col("line").startswith("|") & ~F.col("line").rlike(rule) & ~F.coalesce("header", F.lit(False)))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     return body.select("path", "section", "row", cells.alias("cells"))
 
 
