@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.boxes import approx_time
 from ..schema import AUS, EMOTIONS, FACEBOX, FrameSchema
 from .frame import FrameTable
-from .identity import cluster_identities
 
 OUTPUT = ("FaceRectX double, FaceRectY double, FaceRectWidth double, FaceRectHeight double, FaceScore double, " + ", ".join(f"{c} double" for c in (*AUS, *EMOTIONS, "Pitch", "Roll", "Yaw")) + ", embedding array<float>")
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
@@ -110,12 +109,13 @@ def detect(frames: DataFrame, model: Model | str = "stub", threshold: float = 0.
     df = frames.select("input", "frame", "content").mapInPandas(run, f"input {types['input']}, frame {types['frame']}, face int, detected boolean, {OUTPUT}")
     if fps is not None:
         df = df.withColumn("approx_time", approx_time(F.col("frame"), fps, n_frames or 2**31 - 1))
-    if identities:
-        keyed = df.withColumn("__id", F.struct("input", "frame", "face"))
-        named = cluster_identities(keyed.filter("detected").select(F.to_json("__id").alias("id"), F.col("embedding").alias("v")), identity_threshold, identities)
-        df = keyed.withColumn("id", F.to_json("__id")).join(named, "id", "left").drop("id", "__id")
-    groups = {"facebox": FACEBOX, "aus": AUS, "emotions": EMOTIONS, "poses": ("Pitch", "Roll", "Yaw")} | ({"identity": ("Identity",)} if identities else {})
-    return FrameTable(df, FrameSchema(groups=groups, order_by=("input", "frame", "face")))
+    groups = {"facebox": FACEBOX, "aus": AUS, "emotions": EMOTIONS, "poses": ("Pitch", "Roll", "Yaw")}
+    table = FrameTable(df, FrameSchema(groups=groups, order_by=("input", "frame", "face")))
+    if not identities:
+        return table
+    keys = ["input", "frame", "face"]
+    named = FrameTable(df.filter("detected").select(*keys, "embedding"), table.schema).compute_identities(identity_threshold, identities)
+    return FrameTable(df.join(named.df.select(*keys, "Identity"), keys, "left"), FrameSchema(groups=groups | {"identity": ("Identity",)}, order_by=table.schema.order_by))
 
 
 def embed_paths(pairs: DataFrame, model: Model | str = "stub") -> DataFrame:

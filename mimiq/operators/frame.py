@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..nulls import nan_to_null, safe_divide, safe_log10
 from ..schema import FrameSchema, infer_schema
+from ..storage import materialize
 
 SUMMARIES: dict[str, Callable[[str], Column]] = {
     "mean": lambda c: F.avg(c),
@@ -236,6 +237,108 @@ class FrameTable:
         vectors = self.df.select(q(key).alias("id"), F.array(*[q(c).cast("double") for c in columns]).alias("v"))
         return pair_distances(vectors, metric)
 
+    # the names that summaries and analyses go by elsewhere
+
+    def extract_mean(self, ignore_sessions: bool = False) -> DataFrame:
+        return self.summary(["mean"], ignore_sessions)
+
+    def extract_std(self, ignore_sessions: bool = False) -> DataFrame:
+        return self.summary(["std"], ignore_sessions)
+
+    def extract_sem(self, ignore_sessions: bool = False) -> DataFrame:
+        return self.summary(["sem"], ignore_sessions)
+
+    def extract_min(self, ignore_sessions: bool = False) -> DataFrame:
+        return self.summary(["min"], ignore_sessions)
+
+    def extract_max(self, ignore_sessions: bool = False) -> DataFrame:
+        return self.summary(["max"], ignore_sessions)
+
+    def extract_summary(self, mean: bool = True, std: bool = True, sem: bool = True, max: bool = True, min: bool = True, ignore_sessions: bool = False) -> DataFrame:  # noqa: A002
+        if not (mean or max or min):
+            raise ValueError("at least one of mean, max and min is needed")
+        wanted = {"mean": mean, "sem": sem, "std": std, "max": max, "min": min}
+        return self.summary([k for k, on in wanted.items() if on], ignore_sessions)
+
+    def regress(self, X: str | list[str], y: str | list[str], fit_intercept: bool = True):  # noqa: ANN201
+        from .stats import regress
+
+        return regress(self.df, self.schema.resolve(X), self.schema.resolve(y), fit_intercept)
+
+    def predict(self, X: str | list[str], y: str, k: int = 5) -> DataFrame:
+        """r2 of least squares on each fold; any other estimator goes through stats.cross_val_fit."""
+        from .stats import cross_val_regress
+
+        return cross_val_regress(self.df, self.schema.resolve(X), y, k, self.schema.order_by)
+
+    def ttest_1samp(self, popmean: float = 0.0) -> DataFrame:
+        from .stats import ttest_1samp
+
+        return ttest_1samp(self.df, self.schema.numeric, popmean)
+
+    def ttest_ind(self, col: str, sessions: Sequence[object] | None = None) -> DataFrame:
+        from .stats import ttest_ind
+
+        if self.schema.session is None:
+            raise ValueError("no session column is set")
+        return ttest_ind(self.df, col, self.schema.session, sessions)
+
+    def isc(self, col: str, index: str = "frame", columns: str = "input", method: str = "pearson") -> DataFrame:
+        from .stats import isc
+
+        return isc(self.df, col, index, columns, method)
+
+    def decompose(self, algorithm: str = "pca", n_components: int | None = None, columns: Sequence[str] | None = None):  # noqa: ANN201
+        from .stats import decompose
+
+        return decompose(self.df, list(columns or self.schema.numeric), algorithm, n_components)
+
+    def clean(self, **how: object) -> FrameTable:
+        from .signal import clean
+
+        return clean(self, **how)
+
+    def upsample(self, target: float, target_type: str = "hz", **how: object) -> FrameTable:
+        from .signal import upsample
+
+        return upsample(self, target, target_type, **how)
+
+    def extract_wavelet(self, freq: float, num_cyc: float = 3, mode: str = "complex", ignore_sessions: bool = False) -> FrameTable:
+        from .signal import wavelets
+
+        return wavelets(self, [freq], num_cyc, mode, ignore_sessions=ignore_sessions)
+
+    def extract_multi_wavelet(self, min_freq: float = 0.06, max_freq: float = 0.66, bank: int = 8, **how: object) -> FrameTable:
+        from .signal import multi_wavelet
+
+        return multi_wavelet(self, min_freq, max_freq, bank, **how)
+
+    def extract_boft(self, min_freq: float = 0.06, max_freq: float = 0.66, bank: int = 8, **how: object) -> DataFrame:
+        from .signal import boft
+
+        return boft(self, min_freq, max_freq, bank, **how)
+
+    def compute_identities(self, threshold: float = 0.8, method: str = "gallery", min_cluster_size: int = 2, scope: str | None = None) -> FrameTable:
+        """Adds Identity from the embedding columns, or from an array column 'embedding'."""
+        from .identity import cluster_identities
+
+        if not self.schema.order_by:
+            raise ValueError("this needs order_by, ending in a column that is unique")
+        vector = F.col("embedding") if "embedding" in self.df.columns else F.array(*map(q, self.schema.group("identity_embeddings")))
+        # rows are numbered in their order within the scope, by their keys alone
+        place = F.row_number().over(Window.partitionBy(q(scope) if scope else F.lit(0)).orderBy(*map(q, self.schema.order_by)))
+        keys = list(dict.fromkeys([*((scope,) if scope else ()), *self.schema.order_by]))
+        number = materialize(self.df.select(*map(q, keys)).withColumn("__id", place.cast("long")), "order")
+        marks = number.select("__id", *[q(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+        same = reduce(lambda x, y: x & y, [q(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        joined = self.df.withColumn("__v", vector).join(marks, same)
+        named = cluster_identities(joined.select(F.col("__id").alias("id"), F.col("__v").alias("v"), *([q(scope)] if scope else [])), threshold, method, min_cluster_size, scope, with_scope=True)
+        named = named.select(F.col("id").alias("__n"), F.col("scope").alias("__scope"), "Identity")
+        back = (F.col("__id") == F.col("__n")) & (q(scope).eqNullSafe(F.col("__scope")) if scope else F.lit(True))
+        old = [c for c in self.df.columns if c != "Identity"]
+        df = joined.drop("Identity").join(named, back).select(*map(q, old), "Identity")
+        return FrameTable(df, replace(self.schema, groups=self.schema.groups | {"identity": ("Identity",)}))
+
 
 def rows_per_bin(target: float, target_type: str, sampling_freq: float | None) -> int:
     if target_type == "samples":

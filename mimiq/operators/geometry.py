@@ -168,8 +168,29 @@ def normalize_for_pose(points: Column, left_eye: Sequence[int], right_eye: Seque
     return F.transform(points, lambda p: F.struct(((p["x"] - mean["x"]) / gap).alias("x"), ((p["y"] - mean["y"]) / gap).alias("y")))
 
 
-def symmetrize(points: Column, mirror: Sequence[int]) -> Column:
-    """array<struct<x,y>>: each point averaged with the mirror image of its partner, about the mean of x."""
-    middle = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(points)
-    partner = F.array(*[F.element_at(points, i + 1) for i in mirror])
-    return F.zip_with(points, partner, lambda p, m: F.struct(((p["x"] + 2 * middle - m["x"]) / 2).alias("x"), ((p["y"] + m["y"]) / 2).alias("y")))
+def symmetrize(points: Column, midline: Sequence[int], pairs: Sequence[tuple[int, int]]) -> Column:
+    """array<struct<x,y>>: midline points moved onto their mean x, pairs averaged with each other's mirror image about it."""
+    at = lambda i: F.element_at(points, i + 1)
+    axis = sum((at(i)["x"] for i in midline[1:]), at(midline[0])["x"]) / len(midline)
+    partner = dict(pairs) | {b: a for a, b in pairs}
+    on = set(midline)
+
+    def move(p: Column, i: Column) -> Column:
+        other = F.element_at(points, F.element_at(F.array(*[F.lit(partner.get(k, k) + 1) for k in range(1 + max([*partner, *on]))]), i + 1))
+        x = F.when(F.array_contains(F.array(*map(F.lit, sorted(on))), i), axis).otherwise((p["x"] + 2 * axis - other["x"]) / 2)
+        return F.struct(x.alias("x"), ((p["y"] + other["y"]) / 2).alias("y"))
+
+    return F.transform(points, move)
+
+
+def mesh_of_68(points: Column, anchors: Sequence[int], reference: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> Column:
+    """array<double>, all x, then y, then z of the mesh: 68 points aligned by their anchors, then a linear model.
+
+    The model takes all x, then all y.
+    """
+
+    @pandas_udf("array<double>")
+    def swap(series: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(v).reshape(-1, 2).T.ravel() for v in series])
+
+    return linear_model(swap(align_2d(points, anchors, reference)), weights, bias)

@@ -276,8 +276,8 @@ def density_labels(unit: np.ndarray, threshold: float, min_cluster_size: int = 2
     return out
 
 
-def cluster_identities(faces: DataFrame, threshold: float = 0.8, method: str = "gallery", min_cluster_size: int = 2, scope: str | None = None, id_col: str = "id", vector_col: str = "v") -> DataFrame:
-    """(id, Identity): Person_k numbered by first appearance in the order of id.
+def cluster_identities(faces: DataFrame, threshold: float = 0.8, method: str = "gallery", min_cluster_size: int = 2, scope: str | None = None, id_col: str = "id", vector_col: str = "v", with_scope: bool = False) -> DataFrame:
+    """(id, Identity), and scope if asked for: Person_k numbered by first appearance in the order of id.
 
     gallery: leader clustering in order of id (cosine >= threshold). connected: components of cosine >
     threshold, distributed. hdbscan: by density. Noise is 'Unknown', a vector that is not finite NULL. gallery
@@ -315,7 +315,7 @@ def cluster_identities(faces: DataFrame, threshold: float = 0.8, method: str = "
     number = firsts.filter("first is not null").select("scope", "first").distinct()
     number = number.withColumn("k", F.dense_rank().over(Window.partitionBy("scope").orderBy("first")))
     named = firsts.join(number, ["scope", "first"], "left").select("id", "scope", F.when(F.col("k").isNotNull(), F.concat(F.lit("Person_"), F.col("k").cast("string"))).otherwise("Unknown").alias("Identity"))
-    return rows.select("id", "scope").join(named, ["id", "scope"], "left").select("id", "Identity")
+    return rows.select("id", "scope").join(named, ["id", "scope"], "left").select("id", *(["scope"] if with_scope else []), "Identity")
 
 
 def rank_k_table(embeddings: DataFrame, probes: DataFrame, ks: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mimiq.functions import boxes, filters, gaze, rotations
+from mimiq.functions import boxes, filters, gaze, mesh, rotations
 from mimiq.functions.distributions import incomplete_beta, t_two_sided
 from mimiq.nulls import nan_to_null, null_to_nan
 from mimiq.operators import detect, geometry, identity, imaging, metrics, regions, signal, stats
@@ -357,6 +357,29 @@ def test_mesh_regions(spark):
     assert regions.remove_islands(["a", "a", "b", "a"], {0: [1], 1: [0, 2], 2: [1, 3], 3: [2]}, 1) == ["a", "a", "b", "b"]
 
 
+def test_identities_of_a_table_follow_row_order(spark):
+    rows = [("v", k, 1.0, 0.0) if k != 9 else ("v", k, 0.0, 1.0) for k in range(12)]
+    df = spark.createDataFrame(rows, "input string, frame long, Identity_1 double, Identity_2 double").repartition(3)
+    t = FrameTable.of(df)
+    for scope in (None, "input"):
+        got = {r["frame"]: r["Identity"] for r in t.compute_identities(0.8, scope=scope).df.collect()}
+        assert got == {k: "Person_2" if k == 9 else "Person_1" for k in range(12)}
+
+
+def test_mesh_columns(spark):
+    rng = np.random.default_rng(12)
+    p = rng.normal(size=(478, 3))
+    df = spark.createDataFrame([([tuple(map(float, v)) for v in p],)], "m array<struct<x:double,y:double,z:double>>")
+    m = F.col("m")
+    r = df.select(mesh.iris_radii(m).alias("r"), mesh.gaze_arrow(m, F.lit(0.1), F.lit(0.2)).alias("a"), mesh.to_canonical_axes(m).alias("c"), gaze.estimate_gaze(m).alias("g"), mesh.svg_polygon(F.slice(m, 1, 2), 10).alias("s")).first()
+    assert r["r"]["left"] == pytest.approx(np.linalg.norm(p[469:473] - p[468], axis=1).mean())
+    assert r["a"]["length"] == pytest.approx(0.3 * np.ptp(p[:, 1])) and list(r["a"]["origin"]) == pytest.approx((p[33] + p[263]) / 2)
+    assert tuple(r["c"][5]) == pytest.approx((p[5, 0], -p[5, 1], -p[5, 2]))
+    eye = p[list(gaze.LEFT_IRIS)].mean(0) - p[list(gaze.LEFT_EYE)].mean(0)
+    assert r["g"]["left"]["yaw"] == pytest.approx(math.atan2(-eye[0], eye[2]))
+    assert r["s"].startswith("M ") and r["s"].endswith(" Z")
+
+
 # images, detection
 
 
