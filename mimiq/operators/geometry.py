@@ -109,23 +109,30 @@ def registration(points: Column, neutral: np.ndarray, method: str | Sequence[int
     return fit(points)
 
 
-def greedy_nms(boxes: np.ndarray, scores: np.ndarray, threshold: float, method: str = "union", pixel: float = 1.0) -> np.ndarray:
+def greedy_nms(boxes: np.ndarray, scores: np.ndarray, threshold: float, method: str = "union", pixel: float = 1.0, bounds: np.ndarray | None = None) -> np.ndarray:
     """Indices kept, best first: a box goes if a better kept one overlaps it by more than the threshold.
 
     Areas count ``pixel`` more on each side. method 'min' divides by the smaller
-    area instead of the union. Equal scores keep the later row.
+    area instead of the union. Of equal scores the later row is better. With ``bounds`` (first rows
+    of groups, and the end), groups are apart, and all move on together: each round keeps every group's best.
     """
-    order = np.lexsort((np.arange(len(scores)), scores))[::-1]
-    area = (boxes[:, 2] - boxes[:, 0] + pixel) * (boxes[:, 3] - boxes[:, 1] + pixel)
-    kept = []
-    while len(order):
-        i, rest = order[0], order[1:]
-        kept.append(i)
-        w = np.maximum(0, np.minimum(boxes[i, 2], boxes[rest, 2]) - np.maximum(boxes[i, 0], boxes[rest, 0]) + pixel)
-        h = np.maximum(0, np.minimum(boxes[i, 3], boxes[rest, 3]) - np.maximum(boxes[i, 1], boxes[rest, 1]) + pixel)
-        base = np.minimum(area[i], area[rest]) if method == "min" else area[i] + area[rest] - w * h
-        order = rest[w * h <= threshold * base]
-    return np.array(kept, int)
+    n = len(scores)
+    bounds = np.array([0, n]) if bounds is None else bounds
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((-np.arange(n), -scores, group))
+    b, g = boxes[order], group[order]
+    area = (b[:, 2] - b[:, 0] + pixel) * (b[:, 3] - b[:, 1] + pixel)
+    left, kept = np.arange(n), []
+    while len(left):
+        first = np.append(True, g[left[1:]] != g[left[:-1]])
+        heads = left[first]
+        kept.append(heads)
+        best = heads[np.cumsum(first) - 1]
+        w = np.maximum(0, np.minimum(b[best, 2], b[left, 2]) - np.maximum(b[best, 0], b[left, 0]) + pixel)
+        h = np.maximum(0, np.minimum(b[best, 3], b[left, 3]) - np.maximum(b[best, 1], b[left, 1]) + pixel)
+        base = np.minimum(area[best], area[left]) if method == "min" else area[best] + area[left] - w * h
+        left = left[(w * h <= threshold * base) & ~first]
+    return order[np.sort(np.concatenate(kept))] if kept else np.zeros(0, int)
 
 
 def nms(df: DataFrame, threshold: float, by: Sequence[str] = ("frame",), order_by: Sequence[str] = (), method: str = "union", pixel: float = 1.0, boxes: Sequence[str] = ("left", "top", "right", "bottom"), score: str = "score") -> DataFrame:
@@ -135,8 +142,7 @@ def nms(df: DataFrame, threshold: float, by: Sequence[str] = ("frame",), order_b
 
     def kernel(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         b, s = rows[boxes].to_numpy(float), rows[score].to_numpy(float)
-        kept = [a + greedy_nms(b[a:e], s[a:e], threshold, method, pixel) for a, e in zip(bounds, bounds[1:], strict=False)]
-        return rows.iloc[np.concatenate(kept)][columns]
+        return rows.iloc[greedy_nms(b, s, threshold, method, pixel, bounds)][columns]
 
     return map_groups(df, by, order_by, kernel, schema)
 
