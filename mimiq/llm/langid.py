@@ -177,15 +177,17 @@ def held_out(id_col: str) -> Column:
 
 
 def train(labelled: DataFrame, per_language: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Model from at most ``per_language`` rows of each language, chosen by a hash of the id.
+    """Model from at most ``per_language`` rows of each language, chosen by a hash of id and text; rows alike in both count once.
 
     Rows without text or language do not count. Raises ValueError if none is left.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(text_or_empty(text_col))) > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    picked = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    picked = picked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    samples = [(r["lang"], r["text"]) for r in picked.select("lang", "text").orderBy("lang", "r").collect()]
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    # the choice is made on hashes alone; then at most per_language texts of each language are fetched
+    least = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").withColumn("r", F.row_number().over(least)).filter(F.col("r") <= per_language).select("lang", "h").distinct()
+    picked = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    samples = [(r["lang"], r["text"]) for r in picked.orderBy("lang", "h").collect()]
     if not samples:
         raise ValueError("no labelled text to learn from")
     return Model(samples)
