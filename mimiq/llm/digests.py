@@ -211,6 +211,10 @@ def with_next(documents: DataFrame, bytes_per_bucket: int = 16 << 20, text_col:
 
     firsts = keys.mapInArrow(number, schema).groupBy("bucket").agg(F.max(F.struct("rank", "tie")).alias("m")).orderBy("bucket").collect()
     order = [r["bucket"] for r in firsts]
+    # a number for each range that Spark's hash deals to a task of its own
+    spread = documents.sparkSession.range(32 * max(1, len(order))).select(F.col("id").cast("int").alias("k"))
+    spread = spread.groupBy(F.pmod(F.hash("k"), F.lit(max(1, len(order)))).alias("p")).agg(F.min("k").alias("k")).orderBy("p").collect()
+    own = dict(zip(order, [r["k"] for r in spread] if len(spread) == len(order) else order, strict=True))
     follows = {(firsts[(k + 1) % len(order)]["m"]["rank"], firsts[(k + 1) % len(order)]["m"]["tie"]): b for k, b in enumerate(order)}
     heads = documents.sparkSession.sparkContext.broadcast(follows)
     out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("tail", T.BooleanType()), T.StructField("rank", T.LongType()), T.StructField("tie", T.LongType()), rows.schema["doc_id"], T.StructField("text", T.StringType())])
@@ -218,12 +222,12 @@ def with_next(documents: DataFrame, bytes_per_bucket: int = 16 << 20, text_col:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank, tie = batch.column(0), batch.column(1)
-            b = bucket_of(rank.to_numpy())
+            b = np.array([own[x] for x in bucket_of(rank.to_numpy()).tolist()], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.zeros(len(b), bool)), *batch.columns], names=out.names)
             pick = [(i, heads.value[k]) for i, k in enumerate(zip(rank.to_pylist(), tie.to_pylist(), strict=True)) if k in heads.value]
             if pick:
                 some = batch.take(pa.array([i for i, _ in pick], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([t for _, t in pick], pa.int32()), pa.array([True] * len(pick)), *some.columns], names=out.names)
+                yield pa.RecordBatch.from_arrays([pa.array([own[t] for _, t in pick], pa.int32()), pa.array([True] * len(pick)), *some.columns], names=out.names)
 
     dealt = rows.select("rank", F.xxhash64("text").alias("tie"), "doc_id", "text").mapInArrow(deal, out)
     return dealt.repartition(max(1, len(order)), "bucket").sortWithinPartitions("bucket", "tail", F.desc("rank"), F.desc("tie")).select("bucket", "tail", "doc_id", "text")
