@@ -100,7 +100,7 @@ def approximate(queries: np.ndarray, books: np.ndarray, codes: np.ndarray, norms
     return best_i.T, best_v.T
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 10, books: int = 8, rerank: int = 512, shard_rows: int = 32768, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 10, books: int = 24, rerank: int = 512, shard_rows: int = 32768, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k nearest rows of ``table``, itself excepted.
 
     score is the exact Euclidean distance on the original vectors. Ties go to
