@@ -230,6 +230,13 @@ def test_signature_counts_bits_of_long_and_short_lines(spark):
         assert r["sig"] == sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in r["hs"]) > len(r["hs"]))
 
 
+def test_signature_counts_short_words(spark):
+    words = "alpha beta gamma 1 of to".split()
+    got = lines.with_signature(spark.createDataFrame([(words,)], "words array<string>")).withColumn("hs", F.transform("words", lambda w: F.xxhash64(w))).first()
+    assert got["n"] == 6
+    assert got["sig"] == sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in got["hs"]) > 6)
+
+
 def test_line_dedup_edges(spark, odd):
     out = lines.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
