@@ -230,6 +230,44 @@ def test_signature_counts_bits_of_long_and_short_lines(spark):
         assert r["sig"] == sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in r["hs"]) > len(r["hs"]))
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited_lines(seed, families, copies):
+    """Families of lines around the similarity of 0.8, of few and of many words, with short words and repeats."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice((1, 2, 6, 8))))
+    out = []
+    for f in range(families):
+        base = [word() for _ in range((4, 5, 9, 10, 14, 20, 33)[f % 7])]
+        base[-1] = base[0]
+        for _ in range(copies):
+            line = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 5)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randint(0, 1)] = [word()] if rng.random() < 0.7 else []
+            out.append(" ".join(line))
+    return out
+
+
+@pytest.mark.parametrize("dense", [50])
+def test_line_dedup_finds_all_that_edit_similarity_links(spark, dense):
+    texts = edited_lines(7, 14, 8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [tuple(t.split()) for t in texts]
+    counted = [k for k, w in enumerate(words) if len(w) >= 3]
+    comp = brute_components(counted, lambda a, b: 5 * word_edits(words[a], words[b]) <= max(len(words[a]), len(words[b])))
+    expected = {k: t if comp.get(k, k) == k else "" for k, t in enumerate(texts)}
+    assert texts_of(lines.dedup_lines(df, distance=None, dense=dense)) == expected
+
+
 def test_signature_counts_short_words(spark):
     words = "alpha beta gamma 1 of to".split()
     got = lines.with_signature(spark.createDataFrame([(words,)], "words array<string>")).withColumn("hs", F.transform("words", lambda w: F.xxhash64(w))).first()
