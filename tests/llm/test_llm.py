@@ -257,7 +257,7 @@ def edited_lines(seed, families, copies):
     return out
 
 
-@pytest.mark.parametrize("dense", [50])
+@pytest.mark.parametrize("dense", [50, 3])
 def test_line_dedup_finds_all_that_edit_similarity_links(spark, dense):
     texts = edited_lines(7, 14, 8)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
