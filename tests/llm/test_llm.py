@@ -268,6 +268,11 @@ def test_line_dedup_finds_all_that_edit_similarity_links(spark, dense):
     assert texts_of(lines.dedup_lines(df, distance=None, dense=dense)) == expected
 
 
+def test_line_dedup_drops_repeats_of_short_lines(spark):
+    df = spark.createDataFrame([(1, "a b\n同じ文がここにある。\n!!!\n\nMenu"), (2, "A, b\n同じ文がここにある\n!!!\n\nmenu\nb a")], "doc_id long, text string")
+    assert texts_of(lines.dedup_lines(df, distance=None, exact_short=True)) == {1: "a b\n同じ文がここにある。\n!!!\n\nMenu", 2: "!!!\n\nb a"}
+
+
 def test_signature_counts_short_words(spark):
     words = "alpha beta gamma 1 of to".split()
     got = lines.with_signature(spark.createDataFrame([(words,)], "words array<string>")).withColumn("hs", F.transform("words", lambda w: F.xxhash64(w))).first()
