@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_groups, materialize, read_table, text_or_empty
+from .lines import alike_pairs
 from ..operators.graph import connected_components
 
 BITS = 64
@@ -241,6 +242,53 @@ def near_duplicates(documents: DataFrame, distance: int = 2, text_col: str = "te
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles_of(text: str, words_per_shingle: int) -> np.ndarray:
+    """Different XXH64 of a text's word shingles, in order; of a shorter text, that of all its words."""
+    words = text.encode("utf-8", "replace").lower().split()
+    last = max(1, len(words) - words_per_shingle + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + words_per_shingle]), SEED) for k in range(last)], np.uint64).view(np.int64))
+
+
+def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id", dense: int = 50) -> DataFrame:
+    """(doc_id, component_id) of every row, linked by the Jaccard similarity of word shingles, as near_duplicates names them.
+
+    Sets of n shingles that similar share ``similarity`` * n of them, so one of the
+    least of each, by hash; candidates are found by these and verified on the whole sets.
+    Texts without words are alike.
+    """
+    if similarity < 0.8:
+        raise ValueError("candidates are found by two shared shingles from a similarity of 0.8 on")
+    id_type = documents.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingles_of(t, words_per_shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    texts = documents.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = texts.mapInArrow(run, f"doc_id {id_type}, shingles array<long>")
+    rows = materialize(rows.select("doc_id", F.xxhash64("shingles").alias("h"), F.size("shingles").alias("n"), "shingles"), "shingles")
+    first = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("first")), "firsts")
+    k = F.expr(f"n - cast(ceil({similarity} * n - 1e-9) as int) + 1")
+    keyed = rows.filter("n > 1").select("h", "n", k.alias("k"), F.slice("shingles", 1, k + 1).alias("keys"))
+
+    def prove(links: DataFrame) -> DataFrame:
+        links = materialize(links, "links")
+        ends = links.select(F.col("a").alias("h")).unionByName(links.select(F.col("b").alias("h"))).distinct()
+        some = materialize(rows.join(ends, "h", "left_semi").select("h", "shingles").dropDuplicates(["h"]), "sets")
+        side = lambda c: some.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        alike = both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9
+        return materialize(links.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), "proved")
+
+    comps = connected_components(alike_pairs(keyed, similarity, dense, prove)).select(F.col("node").alias("h"), "component")
+    known = first.join(comps, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    named = known.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "h").join(known.join(named, "component").select("h", "component_id"), "h").select("doc_id", "component_id")
+
+
 def fingerprint_text(column: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 

@@ -174,6 +174,27 @@ def test_links_connect_the_same_in_dense_groups(spark, dense):
     assert brute_components(fps, lambda a, b: (a, b) in linked) == brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
 
 
+@pytest.mark.parametrize("dense", [50, 3])
+def test_near_stage_finds_all_that_shingles_link(spark, dense):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = ["", " ", "one two", "One  two"]
+    for f in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range((12, 60, 300)[f % 3])]
+        for _ in range(7):
+            text = list(base)
+            for _ in range(rng.randint(0, len(base) // 40 + 1)):
+                text[rng.randrange(len(text))] = "other"
+            texts.append(" ".join(text))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    comp = brute_components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike_documents(df, dense=dense).collect()} == comp
+    if dense == 50:
+        assert {r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()} == set(comp.values())
+
+
 def test_thresholds_follow_the_costs():
     assert simhash.allocate_thresholds([[0, 1, 9, 99], [0, 1, 9, 99], [0, 1, 9, 99]], 2) == [0, 0, 0]
     assert simhash.allocate_thresholds([[0, 1, 2, 99], [0, 1, 9, 99], [0, 50, 90, 99]], 2) == [1, 0, -1]
