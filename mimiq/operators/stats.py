@@ -6,14 +6,16 @@ columns reach the driver, whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_p_value, t_two_sided
+from ..storage import materialize
 from .frame import q
 
 
@@ -170,11 +172,11 @@ class Decomposition:
         return df.select(*map(q, keep), *out)
 
 
-def decompose(df: DataFrame, columns: Sequence[str], algorithm: str = "pca", n_components: int | None = None, sample: int = 20000, seed: int = 0, rounds: int = 300) -> Decomposition:
+def decompose(df: DataFrame, columns: Sequence[str], algorithm: str = "pca", n_components: int | None = None, seed: int = 0, rounds: int = 300) -> Decomposition:
     """Columns into components.
 
-    pca and fa come from the covariance of all rows. ica and nnmf are iterative
-    and are fitted on at most ``sample`` rows, chosen by hash; all rows can then be projected.
+    pca and fa come from the covariance of all rows. ica and nnmf are iterative: each
+    round adds up sums over all rows, and only these reach the driver.
     """
     columns = list(columns)
     k = n_components or len(columns)
@@ -190,16 +192,41 @@ def decompose(df: DataFrame, columns: Sequence[str], algorithm: str = "pca", n_c
         weighted = loadings / noise[:, None]
         back = weighted @ np.linalg.inv(np.eye(k) + loadings.T @ weighted)
         return Decomposition(tuple(columns), mean, loadings.T, back, (loadings**2).sum(0))
-    whole = df.select(*[q(c).cast("double") for c in columns]).dropna()
-    rows = whole.orderBy(F.xxhash64(*map(q, columns)), *map(q, columns)).limit(sample).collect()
-    x = np.array(rows, float).reshape(-1, len(columns))
+    if algorithm not in ("ica", "nnmf"):
+        raise ValueError("algorithm is pca, ica, nnmf or fa")
+    rows = materialize(df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna(), "rows")
+    n, mean, cross = _moments(rows, rows.columns)
     if algorithm == "ica":
-        return _ica(x, columns, k, seed, rounds)
-    if algorithm == "nnmf":
-        if (x < 0).any():
-            raise ValueError("nnmf is for values of zero or more")
-        return _nnmf(x, columns, k, seed, rounds)
-    raise ValueError("algorithm is pca, ica, nnmf or fa")
+        return _ica(rows, n, mean, cross, columns, k, seed, rounds)
+    if n and min(rows.agg(*[F.min(c) for c in rows.columns]).first()) < 0:
+        raise ValueError("nnmf is for values of zero or more")
+    return _nnmf(rows, mean, columns, k, seed, rounds)
+
+
+def _sum_rows(rows: DataFrame, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``sums`` over all rows, which it gets in blocks; each task hands on one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(sums(np.column_stack([c.to_numpy() for c in b.columns])).ravel() for b in batches if len(b))
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+    return np.sum([r["s"] for r in rows.mapInArrow(run, "s array<double>").collect()], axis=0)
+
+
+def _least_squares(b: np.ndarray, gram: np.ndarray, sweeps: int = 500) -> np.ndarray:
+    """Rows w >= 0 of least squared error, by coordinate: b are products with the components, gram those among them."""
+    w = np.zeros_like(b)
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(gram)):
+            if gram[j, j] > 0:
+                new = np.maximum(w[:, j] + (b[:, j] - w @ gram[:, j]) / gram[j, j], 0)
+                moved = max(moved, float(np.abs(new - w[:, j]).max()))
+                w[:, j] = new
+        if moved <= 1e-10 * max(float(w.max()), 1e-300):
+            break
+    return w
 
 
 def _factors(cov: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,18 +250,22 @@ def _factors(cov: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarr
     return load, noise
 
 
-def _ica(x: np.ndarray, columns: list[str], k: int, seed: int, rounds: int) -> Decomposition:
+def _ica(rows: DataFrame, n: int, mean: np.ndarray, cross: np.ndarray, columns: list[str], k: int, seed: int, rounds: int) -> Decomposition:
     """Symmetric fixed-point iteration with the log-cosh contrast, on whitened rows."""
-    mean = x.mean(0)
-    value, vector = np.linalg.eigh(np.cov((x - mean).T).reshape(len(columns), -1))
+    value, vector = np.linalg.eigh(cross / max(n - 1, 1))
     top = np.argsort(-value)[:k]
     white = vector[:, top] / np.sqrt(np.maximum(value[top], 1e-12))
-    z = (x - mean) @ white
+    k = len(top)
     w = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
     for _ in range(rounds):
-        g = np.tanh(z @ w.T)
-        new = g.T @ z / len(z) - np.diag((1 - g**2).mean(0)) @ w
-        u, _, v = np.linalg.svd(new)
+
+        def sums(x: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            z = (x - mean) @ white
+            g = np.tanh(z @ w.T)
+            return np.column_stack([g.T @ z, (1 - g**2).sum(0)])
+
+        total = _sum_rows(rows, sums).reshape(k, k + 1) / n
+        u, _, v = np.linalg.svd(total[:, :k] - np.diag(total[:, k]) @ w)
         new = u @ v
         done = np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1).max() < 1e-8
         w = new
@@ -244,15 +275,26 @@ def _ica(x: np.ndarray, columns: list[str], k: int, seed: int, rounds: int) -> D
     return Decomposition(tuple(columns), mean, np.linalg.pinv(transform), transform, np.ones(k))
 
 
-def _nnmf(x: np.ndarray, columns: list[str], k: int, seed: int, rounds: int) -> Decomposition:
-    """Multiplicative updates of squared error."""
-    rng = np.random.default_rng(seed)
-    scale = np.sqrt(max(x.mean(), 1e-12) / k)
-    w, h = rng.random((len(x), k)) * scale + 1e-6, rng.random((k, len(columns))) * scale + 1e-6
+def _nnmf(rows: DataFrame, mean: np.ndarray, columns: list[str], k: int, seed: int, rounds: int) -> Decomposition:
+    """Squared error by turns: weights of each row for given components, then components from sums over the weights."""
+    d = len(columns)
+    h = np.random.default_rng(seed).random((k, d)) * np.sqrt(max(mean.mean(), 1e-12) / k) + 1e-6
+    errors: list[float] = []
     for _ in range(rounds):
-        h *= (w.T @ x) / np.maximum(w.T @ w @ h, 1e-12)
-        w *= (x @ h.T) / np.maximum(w @ h @ h.T, 1e-12)
-    return Decomposition(tuple(columns), np.zeros(len(columns)), h, np.linalg.pinv(h), (h**2).sum(1))
+
+        def sums(x: np.ndarray, h: np.ndarray = h) -> np.ndarray:
+            w = _least_squares(x @ h.T, h @ h.T)
+            return np.column_stack([w.T @ x, w.T @ w])
+
+        total = _sum_rows(rows, sums).reshape(k, d + k)
+        used = np.diag(total[:, d:]) > 0
+        new = np.where(used[:, None], _least_squares(total[:, :d].T, total[:, d:]).T, h)
+        # the squared error less that of the rows themselves
+        errors.append(np.sum((new @ new.T) * total[:, d:]) - 2 * np.sum(new * total[:, :d]))
+        h = new
+        if len(errors) > 1 and errors[-2] - errors[-1] <= 1e-6 * abs(errors[0]):
+            break
+    return Decomposition(tuple(columns), np.zeros(d), h, np.linalg.pinv(h), (h**2).sum(1))
 
 
 def with_folds(df: DataFrame, k: int, order_by: Sequence[str], stratify: str | None = None) -> DataFrame:

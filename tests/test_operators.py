@@ -146,6 +146,20 @@ def test_decompositions(spark):
         stats.decompose(df, "abcd", "magic")
 
 
+def test_ica_and_nnmf_are_fitted_on_all_rows(spark):
+    # one row in three is the same, and there are more rows than the 20000 once taken
+    x = np.random.default_rng(4).exponential(size=(30000, 2)) @ np.array([[3.0, 1, 0], [0, 1, 2]])
+    x[::3] = [9, 3, 0]
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(4)
+    d = stats.decompose(df, "abc", "ica", 2)
+    assert d.mean == pytest.approx(x.mean(0))
+    z = (x - x.mean(0)) @ d.transform
+    assert np.cov(z.T) == pytest.approx(np.eye(2), abs=1e-6)
+    h = stats.decompose(df, "abc", "nnmf", 2).components
+    w = np.linalg.lstsq(h.T, x.T, rcond=None)[0]
+    assert (h >= 0).all() and np.linalg.norm(h.T @ w - x.T) < 0.02 * np.linalg.norm(x)
+
+
 def test_folds_are_contiguous(spark):
     df = spark.range(11)
     assert [r["fold"] for r in stats.with_folds(df, 3, ["id"]).orderBy("id").collect()] == [0] * 4 + [1] * 4 + [2] * 3
