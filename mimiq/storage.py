@@ -11,10 +11,13 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary one of the application."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs in one process, a temporary one of the application."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="mimiq-")
@@ -30,4 +33,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mimiq-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``materialize`` that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            jvm, df._written_at = df.sparkSession._jvm, None
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
