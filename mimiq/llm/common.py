@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir
+from ..storage import materialize, release, shared_dir
 
-__all__ = ["Memo", "fresh_name", "in_groups", "materialize", "read_table", "shared_dir", "text_or_empty"]
+__all__ = ["Memo", "fresh_name", "in_groups", "join_split", "materialize", "read_table", "release", "shared_dir", "text_or_empty"]
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +29,23 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def join_split(rows: DataFrame, facts: DataFrame, key: str, weight: str | None = None, share: int = 512, how: str = "inner") -> DataFrame:
+    """rows join facts on ``key`` (not null, at most one row of facts each), so that no key makes a task heavy.
+
+    Keys that hold more than one in ``share`` of the rows are at most ``share`` keys: their
+    facts are broadcast. The others are shuffled. ``weight`` is a column of
+    facts with the number of rows of its key, if facts has it; else rows are counted.
+    """
+    sizes = facts.select(key, F.col(weight).alias("n_rows")) if weight else rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_rows"))
+    total = sizes.agg(F.sum("n_rows")).first()[0] or 0
+    hot = [r[0] for r in sizes.filter(F.col("n_rows") > total / share).select(key).collect()]
+    facts = facts.drop(weight) if weight else facts
+    if not hot:
+        return rows.join(facts, key, how)
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(facts.filter(is_hot)), key, how).unionByName(rows.filter(~F.coalesce(is_hot, F.lit(False))).join(facts.filter(~is_hot), key, how))
+
+
 class Memo:
     """A bounded memo of pure results, filled a group of keys at a time.
 
