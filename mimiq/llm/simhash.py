@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_groups, materialize, read_table, text_or_empty
-from .lines import alike_pairs
+from .common import in_groups, join_split, materialize, read_table, release, text_or_empty
+from .lines import SKETCH, alike_pairs, row_key
 from ..operators.graph import connected_components
 
 BITS = 64
@@ -233,13 +233,15 @@ def near_duplicates(documents: DataFrame, distance: int = 2, text_col: str = "te
     names a component, unless all of its rows are null. Other columns are ignored.
     """
     rows = materialize(fingerprint_documents(documents, text_col, id_col), "fp")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "fps")
     edges = materialize(link_fingerprints(fps, distance).distinct(), "links")
     comps = connected_components(edges).select(F.col("node").alias("fp"), "component")
-    known = fps.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    known = materialize(fps.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "known")
     named = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = known.join(named, "component").select("fp", "component_id")
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = materialize(join_split(known.select("fp", "component", "copies"), named, "component").select("fp", "component_id", "copies"), "label")
+    out = join_split(rows, label, "fp", "copies").select("doc_id", "fp", "component_id")
+    release(fps, edges, known)
+    return out
 
 
 def shingles_of(text: str, words_per_shingle: int) -> np.ndarray:
@@ -250,11 +252,13 @@ def shingles_of(text: str, words_per_shingle: int) -> np.ndarray:
 
 
 def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id", dense: int = 50) -> DataFrame:
-    """(doc_id, component_id) of every row, linked by the Jaccard similarity of word shingles, as near_duplicates names them.
+    """(row_key, doc_id, component, first) of every row: rows of a component are linked by the Jaccard similarity of word shingles.
 
-    Sets of n shingles that similar share ``similarity`` * n of them, so one of the
+    row_key is a hash of id and text, so rows that repeat both share it. first
+    is whether the row's key is that of the component's row of least doc_id (null ids come last), then least key. Sets of n
+    shingles that similar share ``similarity`` * n of them, so two of the
     least of each, by hash; candidates are found by these and verified on the whole sets.
-    Texts without words are alike.
+    Texts without words, null ones among them, are alike. An empty table gives no rows; other columns are ignored.
     """
     if similarity < 0.8:
         raise ValueError("candidates are found by two shared shingles from a similarity of 0.8 on")
@@ -264,29 +268,49 @@ def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sets = [shingles_of(t, words_per_shingle) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    texts = documents.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.mapInArrow(run, f"doc_id {id_type}, shingles array<long>")
-    rows = materialize(rows.select("doc_id", F.xxhash64("shingles").alias("h"), F.size("shingles").alias("n"), "shingles"), "shingles")
-    first = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("first")), "firsts")
-    k = F.expr(f"n - cast(ceil({similarity} * n - 1e-9) as int) + 1")
-    keyed = rows.filter("n > 1").select("h", "n", k.alias("k"), F.slice("shingles", 1, k + 1).alias("keys"))
-
-    def prove(links: DataFrame) -> DataFrame:
-        links = materialize(links, "links")
-        ends = links.select(F.col("a").alias("h")).unionByName(links.select(F.col("b").alias("h"))).distinct()
-        some = materialize(rows.join(ends, "h", "left_semi").select("h", "shingles").dropDuplicates(["h"]), "sets")
-        side = lambda c: some.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
+                sets = [shingles_of(t, words_per_shingle) for t in part.column(2).to_pylist()]
+                bits = np.array([sketch_of(s) for s in sets], np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
+                columns = [part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64())), *[pa.array(bits[:, k]) for k in range(len(SKETCH))]]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "shingles", *SKETCH])
+
+    texts = documents.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = texts.mapInArrow(run, f"row_key long, doc_id {id_type}, shingles array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
+    rows = materialize(rows.select("row_key", "doc_id", F.xxhash64("shingles").alias("h"), F.size("shingles").alias("n"), "shingles", *SKETCH), "shingles")
+    where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    k = F.expr(f"n - cast(ceil({similarity} * n - 1e-9) as int) + 2")
+    # rows of one set are one: keys and place of the first of them
+    sets = rows.select("h", "n", where.alias("place"), F.slice("shingles", 1, k).alias("keys")).groupBy("h").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.count("*").alias("copies"))
+    sets = materialize(sets, "sets")
+
+    def facts_of(ends: DataFrame) -> DataFrame:
+        need = sets.join(ends, "h").select("h", F.col("place.row_key").alias("row_key"))
+        once = rows.join(need, ["h", "row_key"]).groupBy("h").agg(F.min("shingles").alias("shingles"), *[F.min(x).alias(x) for x in SKETCH])
+        return materialize(once, "facts")
+
+    def prove(links: DataFrame, facts: DataFrame) -> DataFrame:
+        side = lambda c: facts.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
         both = F.size(F.array_intersect("sa", "sb"))
         alike = both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9
         return materialize(links.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), "proved")
 
-    comps = connected_components(alike_pairs(keyed, similarity, dense, prove)).select(F.col("node").alias("h"), "component")
-    known = first.join(comps, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    named = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "h").join(known.join(named, "component").select("h", "component_id"), "h").select("doc_id", "component_id")
+    turns = f"cast(floor((na + nb) * {(1 - similarity) / (1 + similarity)} + 1e-9) as int)"
+    proved = alike_pairs(sets.filter("n > 1").select("h", "n", "keys"), similarity, dense, facts_of, prove, turns)
+    comps = connected_components(proved).select(F.col("node").alias("h"), "component")
+    known = materialize(sets.join(comps, "h", "left").select("h", "place", "copies", F.coalesce("component", "h").alias("component")), "known")
+    named = known.groupBy("component").agg(F.min("place").alias("least")).select("component", F.col("least.row_key").alias("first_key"))
+    label = materialize(join_split(known.select("h", "component", "copies"), named, "component"), "label")
+    out = materialize(join_split(rows.select("row_key", "doc_id", "h"), label, "h", "copies").select("row_key", "doc_id", "component", (F.col("row_key") == F.col("first_key")).alias("first")), "alike")
+    release(rows, sets, proved, known, label)
+    return out
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """As lines.sketch has it."""
+    h = hashes.view(np.uint64)
+    odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    # bit p of lane k is place 4 * p + k
+    lanes = np.ascontiguousarray(odd.reshape(64, 4).T.astype(np.uint8))
+    return np.ascontiguousarray(np.packbits(lanes, axis=1, bitorder="little")).view(np.uint64).ravel()
 
 
 def fingerprint_text(column: str = "fp") -> Column:

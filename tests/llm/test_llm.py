@@ -190,11 +190,25 @@ def test_near_stage_finds_all_that_shingles_link(spark, dense):
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
     comp = brute_components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash.alike_documents(df, dense=dense).collect()} == comp
+    found = simhash.alike_documents(df, dense=dense).collect()
+    least = {r["component"]: r["doc_id"] for r in found if r["first"]}
+    assert {r["doc_id"]: least[r["component"]] for r in found} == comp
     if dense == 50:
         assert {r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()} == set(comp.values())
 
 
+def test_near_stage_keeps_different_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, "one text that stands alone here"), (None, "two is quite another text of its own"), (None, "three has other words again than all"), (3, "four differs from what comes before it"), (3, "five as well and so all of them stay")]
+    df = spark.createDataFrame([*rows, rows[4], rows[4], (9, None), (8, "")], "doc_id long, text string").withColumn("ROW_KEY", F.lit(1)).withColumn("__row_key", F.lit(2))
+    out = corpus_pipeline.near(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [*rows, (8, "")]))
+    assert corpus_pipeline.near(spark, df.limit(0), "").count() == 0
+
+
 def test_thresholds_follow_the_costs():
     assert simhash.allocate_thresholds([[0, 1, 9, 99], [0, 1, 9, 99], [0, 1, 9, 99]], 2) == [0, 0, 0]
     assert simhash.allocate_thresholds([[0, 1, 2, 99], [0, 1, 9, 99], [0, 50, 90, 99]], 2) == [1, 0, -1]
@@ -301,6 +315,26 @@ def test_signature_counts_short_words(spark):
     assert got["sig"] == sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in got["hs"]) > 6)
 
 
+@pytest.mark.parametrize("edit", ["one word replaced", "last word dropped", "a fifth replaced"])
+def test_line_recall_by_edit_similarity(spark, documents, edit):
+    rng = random.Random(11)
+    base = [re.findall(r"[^\W_]+", r["line"].lower()) for r in documents.select(F.explode(F.split("text", "\n")).alias("line")).distinct().orderBy("line").collect()]
+    base = [w for w in base if 10 <= len(w) <= 300][:400]
+    for w in base:
+        rng.shuffle(w)
+    pool = [x for w in base for x in w]
+    rows = []
+    for k, w in enumerate(base):
+        v = list(w)
+        places = {"one word replaced": [rng.randrange(len(v))], "last word dropped": [], "a fifth replaced": rng.sample(range(len(v)), len(v) // 5)}[edit]
+        for at in places:
+            v[at] = rng.choice(pool)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v[:-1] if edit == "last word dropped" else v))]
+    assert len(base) > 100
+    gone = {k for k, t in texts_of(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None)).items() if not t}
+    assert sum(2 * k + 1 in gone or 2 * k in gone for k in range(len(base))) / len(base) >= 0.97
+
+
 def test_line_dedup_edges(spark, odd):
     out = lines.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -523,8 +557,8 @@ def test_pipeline_stages(spark, sf, documents, tmp_path):
         before, docs = docs, spark.read.parquet(path)
         assert docs.count() <= before.count()
         if name == "near":
-            comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(before).collect()}
-            assert {r["doc_id"] for r in docs.collect()} == set(comp.values())
+            found = simhash.alike_documents(before).collect()
+            assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in found if r["first"]}
     assert not any(re.search(secrets.PATTERNS["access"], t or "") for t in texts_of(docs).values())
     packed = pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
