@@ -130,34 +130,34 @@ def nearest_in_gallery(probes: DataFrame, gallery: DataFrame, k: int) -> DataFra
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("probe", "rank", "gallery_id", "label", "similarity")
 
 
-def gallery_labels(unit: np.ndarray, threshold: float, state: tuple[list[np.ndarray], list[int]] | None = None) -> np.ndarray:
+def gallery_labels(unit: np.ndarray, threshold: float, state: tuple[list[np.ndarray], list[int]] | None = None, block: int = 256) -> np.ndarray:
     """Leader clustering in order: join the nearest centroid of cosine >= threshold, else lead a new one.
 
-    ``state`` (centroids, counts) is carried and changed in place. A row that is not finite gets -1.
+    Blocks of rows are scored against all centroids in one product; when a row moves a centroid or makes one,
+    that column is scored again for the rows after it. ``state`` (centroids, counts) is carried and
+    changed in place. A row that is not finite gets -1.
     """
     centroids, counts = state if state is not None else ([], [])
-    book = np.array(centroids, float) if centroids else np.zeros((0, unit.shape[1]))
-    used = len(book)
-    out = np.full(len(unit), -1, np.int64)
-    for i, e in enumerate(unit):
-        if not np.isfinite(e).all():
-            continue
-        near = book[:used] @ e if used else np.zeros(0)
-        best = int(near.argmax()) if used else -1
-        if best >= 0 and near[best] >= threshold:
-            counts[best] += 1
-            moved = book[best] + (e - book[best]) / counts[best]
-            book[best] = moved / max(float(np.linalg.norm(moved)), 1e-12)
-        else:
-            best = used
-            if used == len(book):
-                book = np.vstack([book, np.zeros((max(64, used), unit.shape[1]))])
-            book[used] = e
-            used += 1
-            counts.append(1)
-        out[i] = best
-    centroids[:] = list(book[:used])
-    return out
+    labels = np.full(len(unit), -1, np.int64)
+    whole = np.flatnonzero(np.isfinite(unit).all(1))
+    for rows in np.split(whole, range(block, len(whole), block)):
+        x = unit[rows]
+        score = np.full((len(x), len(counts) + len(x)), -np.inf)  # with a column for each that may be made
+        if counts:
+            score[:, : len(counts)] = x @ np.stack(centroids).T
+        for i, best in enumerate(score):
+            to = int(best.argmax())
+            if best[to] >= threshold:
+                counts[to] += 1
+                mean = ((counts[to] - 1) * centroids[to] + x[i]) / counts[to]
+                centroids[to] = mean / max(float(np.sqrt(mean @ mean)), 1e-12)
+            else:
+                to = len(counts)
+                centroids.append(x[i])
+                counts.append(1)
+            score[i + 1 :, to] = x[i + 1 :] @ centroids[to]
+            labels[rows[i]] = to
+    return labels
 
 
 def density_labels(unit: np.ndarray, threshold: float, min_cluster_size: int = 2) -> np.ndarray:

@@ -169,24 +169,44 @@ def ease_in_out(spark, start: Sequence[float], end: Sequence[float], n_frames: i
     return there.unionByName(there.select((F.lit(2 * total - 1) - F.col("frame")).alias("frame"), "values"))
 
 
+def matched(gap: np.ndarray) -> np.ndarray:
+    """For each row the column it gets, or -1, where every column prefers the earlier row and every row the smaller finite gap.
+
+    Rows without a column propose to the best that has not refused them, all at once; columns keep the earliest.
+    """
+    left = gap.copy()
+    n, m = left.shape
+    holder, asked = np.full(m, n), np.full(n, -1)
+    seek = np.flatnonzero(np.isfinite(left).any(1))
+    while len(seek):
+        asked[seek] = left[seek].argmin(1)
+        np.minimum.at(holder, asked[seek], seek)
+        tried = np.flatnonzero(asked >= 0)
+        refused = tried[holder[asked[tried]] != tried]
+        left[refused, asked[refused]] = np.inf
+        asked[refused] = -1
+        seek = refused[np.isfinite(left[refused]).any(1)]
+    return asked
+
+
 def smooth_boxes(frames: Iterator[np.ndarray], alpha: float, before: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """Each frame's boxes (xyxy) moved towards the frame before, with the boxes to carry on.
 
-    A box follows the nearest unused earlier one whose centre lies within half its width; others,
-    and rows that are not finite, pass as they are.
+    Boxes are matched to earlier ones whose centres lie within half their width, the nearest first and earlier rows
+    before later ones; others, and rows that are not finite, pass as they are.
     """
+    centre = lambda x: x.reshape(-1, 2, 2).mean(1)
     for boxes in frames:
-        out = boxes.copy()
-        whole = np.isfinite(boxes).all(1)
-        if before is not None and len(before):
-            middle, free = (before[:, :2] + before[:, 2:]) / 2, np.ones(len(before), bool)
-            for i in np.flatnonzero(whole):
-                gap = np.where(free, np.linalg.norm(middle - (boxes[i, :2] + boxes[i, 2:]) / 2, axis=1), np.inf)
-                j = int(gap.argmin())
-                if gap[j] < 0.5 * max(boxes[i, 2] - boxes[i, 0], 1.0):
-                    free[j] = False
-                    out[i] = alpha * boxes[i] + (1 - alpha) * before[j]
-        before = out[whole].copy() if whole.any() else None
+        rows = np.flatnonzero(np.isfinite(boxes).all(1))
+        now, out = boxes[rows], boxes.copy()
+        if before is not None and len(before) and len(rows):
+            gap = np.hypot(*np.moveaxis(centre(now)[:, None] - centre(before)[None], 2, 0))
+            reach = np.maximum(now[:, 2] - now[:, 0], 1.0) / 2
+            to = matched(np.where(gap < reach[:, None], gap, np.inf))
+            hit = to >= 0
+            now[hit] = alpha * now[hit] + (1 - alpha) * before[to[hit]]
+            out[rows] = now
+        before = now if len(rows) else None
         yield out, before
 
 

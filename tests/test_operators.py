@@ -309,6 +309,20 @@ def test_boxes_follow_their_face():
     assert out[1].tolist() == [[1, 0, 11, 10], [80, 80, 90, 90]] and np.isnan(out[2]).all()
 
 
+def test_matching_serves_earlier_rows_first():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        gap = rng.random((rng.integers(1, 7), rng.integers(1, 7)))
+        gap[gap > 0.7] = np.inf
+        free, expected = np.ones(gap.shape[1], bool), []
+        for row in gap:
+            row = np.where(free, row, np.inf)
+            expected.append(int(row.argmin()) if np.isfinite(row).any() else -1)
+            if expected[-1] >= 0:
+                free[expected[-1]] = False
+        assert signal.matched(gap).tolist() == expected
+
+
 # identities, graphs
 
 
@@ -367,7 +381,9 @@ def test_mesh_regions(spark):
     assert set(got) == set(direct) and got[1] == "low" and got[4] == "high"
     assert {r["v"]: r["m"] for r in regions.mirrored(xy).collect()} == {v: v ^ 1 for v in range(6)}
     assert regions.mirror_name("browLeft") == "browRight" and regions.mirror_name("chin") == "chin"
-    assert regions.fill_gaps(["a", None, "a"], {1: [0, 2]}, set()) == ["a", "a", "a"]
+    chain = spark.createDataFrame([(a, b) for k in range(6) for a, b in ((k, k + 1), (k + 1, k))], "t int, u int")
+    grown = regions.fill_gaps(spark.createDataFrame([(0, "a"), (4, "b"), (6, "a")], "t int, region string"), chain, spark.createDataFrame([(3,)], "t int"))
+    assert {r["t"]: r["region"] for r in grown.collect()} == {0: "a", 1: "a", 2: "a", 4: "b", 5: "a", 6: "a"}
     assert regions.remove_islands(["a", "a", "b", "a"], {0: [1], 1: [0, 2], 2: [1, 3], 3: [2]}, 1) == ["a", "a", "b", "b"]
 
 
