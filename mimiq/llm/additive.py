@@ -28,10 +28,10 @@ ENTRIES, BEAM = 256, 3
 
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): rows whose vector is whole, finite, not zero, and of the most frequent length."""
+    """(vec_id, v): rows whose vector, in doubles, is whole, finite, not zero, and of the most frequent length."""
     v = F.col(vector_col)
-    rows = table.filter(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast("float")))
+    rows = table.filter(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     return rows.filter(F.size("v") == (size["d"] if size else 0))
@@ -127,7 +127,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, books: int = 24,
 
     def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.zeros((0, sample.shape[1]), np.float32)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.zeros((0, sample.shape[1]))
             codes, norms = encode(x, shipped.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["rep", "codes", "norm"])
 
@@ -150,7 +150,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, books: int = 24,
     if shards > 1:
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("qrep").orderBy("near", "rep"))).filter(F.col("r") <= rerank)
     near = near.select("qrep", "rep").join(reps.withColumnRenamed("v", "x"), "rep").join(reps.select(F.col("rep").alias("qrep"), F.col("v").alias("q")), "qrep")
-    square = F.zip_with("x", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    square = F.zip_with("x", "q", lambda a, b: (a - b) * (a - b))
     exact = near.select("qrep", "rep", F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x)).alias("score"))
     best = Window.partitionBy("qrep").orderBy("score", "rep")
     exact = exact.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("qrep", "rep", "score")

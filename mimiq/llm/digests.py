@@ -183,30 +183,34 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_next(documents: DataFrame, bytes_per_bucket: int = 16 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def with_next(documents: DataFrame, bytes_per_bucket: int = 16 << 20, most_buckets: int = 16384, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows dealt by ranges of id, each range sorted by id from large to small and ended by the row that follows it.
 
-    Columns: bucket int, tail boolean, doc_id, text. Texts are shuffled once.
-    Only quantiles of the ids and each range's first id go to the driver. After
+    Columns: bucket int, tail boolean, doc_id, text. Texts are shuffled once, and streamed.
+    Only quantiles of the ids and each range's first id go to the driver, for ``most_buckets`` ranges at most
+    of rows with an id, and as many of rows without; those are dealt by the hash of the text. After
     the last row comes the first. Equal ids are ordered by a hash of the text;
     null ids come last.
     """
     rows = documents.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("rank", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
-    size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    buckets = max(1, -(-(size[0] or 0) // bytes_per_bucket))
-    marks = np.array(sorted(set(rows.approxQuantile("rank", [k / buckets for k in range(1, buckets)], 0.1 / buckets))) if buckets > 1 and size[1] else [])
+    lack = F.col("doc_id").isNull()
+    size = rows.agg(F.sum(F.when(lack, 0).otherwise(F.octet_length("text"))), F.sum(F.when(lack, F.octet_length("text"))), F.count_if(~lack)).first()
+    buckets, pieces = (min(most_buckets, max(1, -(-(b or 0) // bytes_per_bucket))) for b in size[:2])
+    marks = np.array(sorted(set(rows.filter(~lack).approxQuantile("rank", [k / buckets for k in range(1, buckets)], 0.1 / buckets))) if buckets > 1 and size[2] else [])
     bounds = documents.sparkSession.sparkContext.broadcast(marks)
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), rows.schema["rank"], T.StructField("tie", T.LongType())])
     keys = rows.select("rank", F.xxhash64("text").alias("tie"))
 
-    def bucket_of(rank: np.ndarray) -> np.ndarray:
-        # from large ids to small
-        return (len(bounds.value) - np.searchsorted(bounds.value, rank.astype(np.float64), "right")).astype(np.int32)
+    def bucket_of(rank: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        # from large ids to small, then from large hashes to small
+        of_id = len(bounds.value) - np.searchsorted(bounds.value, rank.astype(np.float64), "right")
+        of_none = len(bounds.value) + 1 + np.floor((0.5 - tie / 2.0**64) * pieces).clip(0, pieces - 1)
+        return np.where(rank == -(2**63), of_none, of_id).astype(np.int32)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = bucket_of(batch.column(0).to_numpy())
+            b = bucket_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(b), batch.column(0), batch.column(1)], names=["bucket", "rank", "tie"])
 
     firsts = keys.mapInArrow(number, schema).groupBy("bucket").agg(F.max(F.struct("rank", "tie")).alias("m")).orderBy("bucket").collect()
@@ -222,7 +226,7 @@ def with_next(documents: DataFrame, bytes_per_bucket: int = 16 << 20, text_col:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank, tie = batch.column(0), batch.column(1)
-            b = np.array([own[x] for x in bucket_of(rank.to_numpy()).tolist()], np.int32)
+            b = np.array([own[x] for x in bucket_of(rank.to_numpy(), tie.to_numpy()).tolist()], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.zeros(len(b), bool)), *batch.columns], names=out.names)
             pick = [(i, heads.value[k]) for i, k in enumerate(zip(rank.to_pylist(), tie.to_pylist(), strict=True)) if k in heads.value]
             if pick:

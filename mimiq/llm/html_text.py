@@ -30,8 +30,8 @@ BLOCK = frozenset(
     " header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-SILENT = RAW | frozenset("head template select button option datalist svg math canvas audio video object map".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SILENT = RAW | frozenset("head template select button option datalist".split())
 #: An opening of the first closes an open one of the second, unless one of the third lies between.
 CLOSES = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -49,7 +49,10 @@ BAD = (
     "nav", "menu", "header", "footer", "side", "aside", "ad", "ads", "advert", "sponsor", "promo", "banner", "cookie", "notice", "consent", "popup", "modal", "comment", "comments",
     "reply", "form", "subscribe", "newsletter", "login", "search", "share", "social", "related", "breadcrumb", "widget", "toolbar", "copyright", "legal", "alert",
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments and the like, or a tag. As the standard has it, a quote opens a value only right after the equals sign; one that nothing closes runs to the end.
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
+_ATTRIBUTES = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+"
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 TAG_GROUPS = ("p", "h", "li", "list", "article", "section", "div", "nav", "aside", "header", "footer", "form", "table", "quote", "body")
@@ -108,16 +111,13 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
     while True:
         m = _TAG.search(page, at)
         if m is None:
-            tail = page[at:]
-            cut = tail.rfind("<")
-            # a tag that the page's end cuts off is no text
-            text(tail[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", tail[cut:]) else tail)
+            text(page[at:])
             break
         text(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
-        if not name:
-            continue
+        if not name or not m[4]:
+            continue  # a tag that the page's end cuts off is none
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -414,9 +414,10 @@ def main_texts(pages: list[str], trees: BoostedTrees) -> list[str]:
 def extract_pages(pages: DataFrame, trees: BoostedTrees, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns, text and n_chars (code points) of every page.
 
-    Null html counts as empty, and gives an empty text. Broken markup is read as
-    a browser would in the main; repeated rows give equal texts. Other columns
-    are not carried, so their names cannot clash.
+    Null html counts as empty, and gives an empty text; so do empty pages and those without text. Whole pages
+    are read, of any length. Broken markup is read as a browser would in the main; repeated rows give
+    equal texts. States of an element that tie are mixed first, then rejected. Other columns
+    are not carried, so their names cannot clash. An empty table gives no rows.
     """
     shipped = pages.sparkSession.sparkContext.broadcast(trees)
     fields = [pages.schema[c] for c in keep]

@@ -11,9 +11,11 @@ The model is counted from a bounded sample of labelled rows (at most
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +32,8 @@ BLOCK = 64
 CACHE_WORDS = 200_000
 SWITCH, FOREIGN, CLIP = 10.0, -30.0, 12.0
 _WORD = re.compile(r"[^\W\d_]+")
+#: Signs of numbers that are no decimal digits (fractions, superscripts, Roman numerals): the pattern above would take them for letters.
+_SIGNS = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl")) + "]")
 #: First and last code point of ranges by script.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -37,7 +41,12 @@ SCRIPTS = (
     ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF),
     ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    return _WORD.findall((text if text.isascii() else _SIGNS.sub(" ", text)).lower())
 
 
 def script_of(word: str) -> str:
@@ -64,7 +73,7 @@ class Model:
         counts = {lang: Counter() for lang in self.languages}
         scripts = {lang: Counter() for lang in self.languages}
         for lang, text in samples:
-            words = Counter(_WORD.findall(text.lower()))
+            words = Counter(words_of(text))
             for w, n in words.items():
                 scripts[lang][script_of(w)] += n * len(w)
                 for g in _grams(w):
@@ -108,12 +117,12 @@ class Scorer:
                 score[i] = np.where(own, score[i], FOREIGN)
         return [row.tobytes() for row in score.astype(np.float32)]
 
-    def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
-        """The words of each text and the language index of each word."""
-        words = [_WORD.findall(t.lower()) for t in texts]
+    def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, bool]]:
+        """The words of each text, the language index of each word, and whether any word tells languages apart."""
+        words = [words_of(t) for t in texts]
         known = self.words.holding(set().union(*words))
         scores = [np.frombuffer(b"".join([known[w] for w in x]), np.float32).reshape(-1, self.n) for x in words]
-        return list(zip(words, viterbi(scores, SWITCH), strict=True))
+        return list(zip(words, viterbi(scores, SWITCH), [bool((x != x[:, :1]).any()) for x in scores], strict=True))
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -179,7 +188,8 @@ def held_out(id_col: str) -> Column:
 def train(labelled: DataFrame, per_language: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Model from at most ``per_language`` rows of each language, chosen by a hash of id and text; rows alike in both count once.
 
-    Rows without text or language do not count. Raises ValueError if none is left.
+    Rows without text or language do not count; if none is left, the model has no language. Of texts
+    whose hashes tie, all count.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(text_or_empty(text_col))) > 0))
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
@@ -188,25 +198,23 @@ def train(labelled: DataFrame, per_language: int = 300, text_col: str = "text",
     chosen = rows.select("lang", "h").withColumn("r", F.row_number().over(least)).filter(F.col("r") <= per_language).select("lang", "h").distinct()
     picked = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     samples = [(r["lang"], r["text"]) for r in picked.orderBy("lang", "h").collect()]
-    if not samples:
-        raise ValueError("no labelled text to learn from")
     return Model(samples)
 
 
 def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_spans: bool = False) -> DataFrame:
     """lang_pred and score of every row, beside its ``keep`` columns.
 
-    score is the share of letters that lie in spans of lang_pred. Null texts
-    and texts without letters get 'und' and 0. With ``with_spans``, spans is an array of
+    score is the share of letters that lie in spans of lang_pred; of languages with equal shares the first is
+    taken. Where no word tells languages apart, that is the first and each has an even score. Null texts
+    and texts without letters get 'und' and 0, and so do all where the model has no language. An empty table gives no rows. With ``with_spans``, spans is an array of
     (first word, last word exclusive, language). Repeated rows are judged alike;
     column names of the input cannot clash, as only ``keep`` is carried.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped, key = documents.sparkSession.sparkContext.broadcast(model), model_digest(model)
     kept = [documents.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"]) + ", spans array<struct<first:int,end:int,lang:string>>" * with_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shipped)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shipped.value)
@@ -215,7 +223,7 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: t
         for batch in batches:
             langs, scores, spans = [], [], []
             for group in in_groups((t.as_py() for t in batch.column(len(kept))), 1 << 19):
-                for words, labels in scorer.label(group):
+                for words, labels, told in scorer.label(group) if names else [((), None, False)] * len(group):
                     if not words:
                         langs.append(UNKNOWN)
                         scores.append(0.0)
@@ -223,7 +231,7 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: t
                         continue
                     letters = np.bincount(labels, weights=np.fromiter(map(len, words), np.float64, len(words)), minlength=len(names))
                     langs.append(names[int(letters.argmax())])
-                    scores.append(float(letters.max() / letters.sum()))
+                    scores.append(float(letters.max() / letters.sum()) if told else 1 / len(names))
                     if with_spans:
                         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
                         spans.append([{"first": a, "end": b, "lang": names[labels[a]]} for a, b in zip(cuts, cuts[1:], strict=False)])
@@ -244,6 +252,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def model_digest(model: Model) -> int:
-    """A checksum of the model, for tests of repeatability."""
-    return zlib.crc32(model.logs.tobytes() + "".join(model.ids).encode())
+def model_digest(model: Model) -> str:
+    """Equal for models that score alike."""
+    parts = [repr(model.languages), " ".join(model.ids), repr(sorted((s, own.tolist()) for s, own in model.scripts.items()))]
+    return hashlib.sha256(model.logs.tobytes() + "\n".join(parts).encode("utf-8", "replace")).hexdigest()

@@ -114,7 +114,6 @@ def shortest_pack_first(histogram: dict[int, int], max_tokens: int) -> list[tupl
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        grown: list[tuple[int, list[int], int]] = []
         while left and rooms and rooms[-1] >= length:
             room = rooms[-1]
             pattern, count = open_[room].pop()
@@ -124,17 +123,16 @@ def shortest_pack_first(histogram: dict[int, int], max_tokens: int) -> list[tupl
             used = min(count, left)
             if count > used:
                 leave(room, pattern, count - used)
-            grown.append((room - length, [*pattern, length], used))
+            # back at once: where it still has most room, it takes the next piece too
+            leave(room - length, [*pattern, length], used)
             left -= used
         if left:
             # new patterns of this length alone, as many together as fit
             fit = max_tokens // length
             if left >= fit:
-                grown.append((max_tokens - fit * length, [length] * fit, left // fit))
+                leave(max_tokens - fit * length, [length] * fit, left // fit)
             if left % fit:
-                grown.append((max_tokens - left % fit * length, [length] * (left % fit), 1))
-        for room, pattern, count in grown:
-            leave(room, pattern, count)
+                leave(max_tokens - left % fit * length, [length] * (left % fit), 1)
     for groups in open_.values():
         done.extend(groups)
     return done

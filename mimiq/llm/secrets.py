@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize, read_table, text_or_empty
+from .common import fresh_name, join_split, materialize, read_table, text_or_empty
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -83,6 +83,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(text, ",")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of hash, so that different texts do not share spans."""
+    return F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text)))
+
+
 def find_spans(documents: DataFrame, owner: Column, repository: Column, max_owners: int = 2, max_repositories: int = 3, text_col: str = "text", key: Column | None = None) -> DataFrame:
     """(row_key, base, added, n_owned, n_shared) of each different row that has candidates.
 
@@ -92,16 +97,16 @@ def find_spans(documents: DataFrame, owner: Column, repository: Column, max_owne
     """
     text = text_or_empty(text_col)
     base, more = candidate_spans(text)
-    rows = documents.select((F.xxhash64(text) if key is None else key).alias("row_key"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repo"), base.alias("base"), more.alias("more"))
+    rows = documents.select((text_key(text) if key is None else key).alias("row_key"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repo"), base.alias("base"), more.alias("more"))
     rows = materialize(rows.filter((F.size("base") > 0) | (F.size("more") > 0)), "candidates")
     each = F.explode(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("digest"))))
     spans = rows.select("row_key", "owner", "repo", each.alias("s"))
     owned = spans.groupBy(F.col("s.digest").alias("digest"), "owner", "repo").agg(F.count("*").alias("n"))
     owners = owned.groupBy("digest", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     wide = owners.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("copies"))
-    wide = wide.select("digest", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repositories)).alias("specific"))
+    wide = wide.select("digest", "copies", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repositories)).alias("specific"))
     once = spans.select("row_key", "s.*").distinct()
-    judged = once.join(wide, "digest").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "k", "kind", "end", "specific"))).alias("all"))
+    judged = join_split(once, wide, "digest", "copies").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "k", "kind", "end", "specific"))).alias("all"))
     is_base = lambda s: s["k"] < 3
     return judged.select(
         "row_key",
@@ -122,8 +127,8 @@ def scan_secrets(documents: DataFrame, owner_col: str = "source", repository_col
     text = text_or_empty(text_col)
     repo = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repository_cols])
     found = find_spans(documents, F.col(owner_col), repo, text_col=text_col)
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row_key"))
-    joined = rows.join(found, "row_key", "left")
+    rows = documents.select(F.col(id_col).alias("doc_id"), text_key(text).alias("row_key"))
+    joined = join_split(rows, materialize(found, "spans"), "row_key", how="left")
     empty = F.array().cast(found.schema["base"].dataType)
     base, added = F.coalesce("base", empty), F.coalesce("added", empty)
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -143,7 +148,7 @@ def redact_secrets(documents: DataFrame, owner_col: str = "source", repository_c
     some = documents.filter(may)
     found = find_spans(some, F.col(owner_col), repo, text_col=text_col)
     spans = found.select(F.col("row_key").alias(name), F.array_sort(F.concat("base", "added")).alias(fresh_name(documents, "spans")))
-    joined = some.withColumn(name, F.xxhash64(text)).join(spans, name, "left")
+    joined = some.withColumn(name, text_key(text)).join(spans, name, "left")
     at, out = F.lit(0).cast("long").alias("at"), F.lit("").alias("out")
 
     def step(acc: Column, s: Column) -> Column:

@@ -79,6 +79,20 @@ def test_shortest_pack_first_places_all(seed):
     assert placed == histogram
 
 
+@pytest.mark.parametrize("histogram", [{700: 10, 30: 3000}, {90: 7, 45: 20, 20: 100, 3: 500}])
+def test_packing_patterns_equal_piece_by_piece(histogram):
+    size = 2048 if 700 in histogram else 100
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            best = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+            if best is not None and rooms[best] >= length:
+                rooms[best] -= length
+            else:
+                rooms.append(size - length)
+    assert sum(n for _, n in packing.shortest_pack_first(histogram, size)) == len(rooms)
+
+
 # byte-level BPE
 
 
@@ -395,6 +409,16 @@ def test_spans_of_mixed_text_and_edges(spark, documents, odd):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_without_letters_evidence_or_labels(spark, documents):
+    df = spark.createDataFrame([(1, "½ ² ③ Ⅷ"), (2, "漢字 かな"), (3, "١٢٣ 456"), (4, None)], "doc_id long, text string")
+    model = langid.train(documents)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, model).collect()}
+    assert got[1] == got[3] == got[4] == ("und", 0.0)
+    assert got[2] == (model.languages[0], 1 / len(model.languages))
+    none = langid.train(documents.limit(0))
+    assert none.languages == [] and {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(0)
     scores = [-rng.random((n, 4)).astype(np.float32) * 6 for n in (1, 5, 64, 65, 300, 0, 3)]
@@ -444,6 +468,15 @@ def test_digest_ranges_give_the_same_next(spark, documents):
     assert seen == whole
 
 
+def test_digest_rows_without_id_follow_one_another(spark):
+    rows = [(None, f"text number {k} of those without an id") for k in range(40)] + [(k, f"text of id {k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, digests.fingerprint_documents(df).collect()))
+    dealt = digests.with_next(df, 200)
+    assert len(whole) == 50 and dealt.filter("doc_id is null").select("bucket").distinct().count() > 3
+    assert dealt.filter("not tail").count() == 50
+
+
 def test_digest_likeness_and_parse():
     a = digests.filters_of(digests.features(b"the quick brown fox jumps over the lazy dog " * 3))
     assert digests.likeness(a, a) == 1.0
@@ -479,6 +512,8 @@ def test_neighbour_recall_and_edges(spark):
         total += 10
         assert np.allclose(np.sort(part.score), np.sort(d[part.vec_id.to_numpy()]))
     assert hit / total >= 0.9
+    close = spark.createDataFrame([(k, [1.0 + k * 1e-12, 2.0]) for k in range(4)], "vec_id long, embedding array<double>")
+    assert all(r["score"] > 0 for r in additive.nearest(close, close.filter("vec_id = 0")).collect())
     assert additive.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -515,6 +550,19 @@ def test_parse_rules():
     assert [n.tag for n in nodes] == ["html", "body", "p", "p", "ul", "li", "li"]
 
 
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<p title=it's>Hello world</p><p>don't go > there</p>", ["Hello world", "don't go > there"]),
+        ('<p class="a>broken', []),
+        ("<p>Area is <math>x=2</math> here</p><noscript><p>shown</p></noscript>", ["Area is x=2 here", "shown"]),
+        ("<p>a</ x>b<!-->c<!-- d --!>e<? f ><p a = 'x>y' b>g <i", ["abce", "g"]),
+    ],
+)
+def test_tags_end_as_the_standard_says(page, blocks):
+    assert html_text.parse(page)[1] == blocks
+
+
 def test_decoding_leaves_no_contradiction():
     nodes = [html_text.Node("html", -1, 0), html_text.Node("div", 0, 1), html_text.Node("p", 1, 2), html_text.Node("p", 1, 2)]
     nodes[0].children, nodes[1].children = [1], [2, 3]
