@@ -46,7 +46,10 @@ _SCORERS: dict[str, Scorer] = {}
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return _WORD.findall((text if text.isascii() else _SIGNS.sub(" ", text)).lower())
+    words = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return _WORD.findall(_SIGNS.sub(" ", text).lower())
 
 
 def script_of(word: str) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_groups, join_split, materialize, read_table, release, text_or_empty
-from .lines import SKETCH, alike_pairs, row_key
+from .lines import SKETCH, alike_pairs, keep_mapped, row_key
 from ..operators.graph import connected_components
 
 BITS = 64
@@ -251,41 +251,54 @@ def shingles_of(text: str, words_per_shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + words_per_shingle]), SEED) for k in range(last)], np.uint64).view(np.int64))
 
 
-def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id", dense: int = 50) -> DataFrame:
+def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id", dense: int = 8, keys: int = 12) -> DataFrame:
     """(row_key, doc_id, component, first) of every row: rows of a component are linked by the Jaccard similarity of word shingles.
 
     row_key is a hash of id and text, so rows that repeat both share it. first
-    is whether the row's key is that of the component's row of least doc_id (null ids come last), then least key. Sets of n
-    shingles that similar share ``similarity`` * n of them, so two of the
-    least of each, by hash; candidates are found by these and verified on the whole sets.
+    is whether the row's key is that of the component's row of least doc_id (null ids come last), then least key.
+    Sets alike share two of the ``keys`` least hashes of each, but for two pairs in ten
+    million by the chance of the hash (sets of up to 50 shingles: always); these are candidates, and whole sets are compared.
     Texts without words, null ones among them, are alike. An empty table gives no rows; other columns are ignored.
     """
     if similarity < 0.8:
         raise ValueError("candidates are found by two shared shingles from a similarity of 0.8 on")
     id_type = documents.schema[id_col].dataType.simpleString()
+    hashed = ["h", "n", "keys", *SKETCH]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        for k in range(0, len(batch), 256):
+            part = batch.slice(k, 256)
+            yield part, [shingles_of(t, words_per_shingle) for t in part.column(at).to_pylist()]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                sets = [shingles_of(t, words_per_shingle) for t in part.column(2).to_pylist()]
+            for part, sets in sets_of(batch, 2):
                 bits = np.array([sketch_of(s) for s in sets], np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
-                columns = [part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64())), *[pa.array(bits[:, k]) for k in range(len(SKETCH))]]
-                yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "shingles", *SKETCH])
+                whole = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                least = [s[: min(keys, len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 2)] for s in sets]
+                columns = [part.column(0), part.column(1), pa.array(whole), pa.array([len(s) for s in sets], pa.int32()), pa.array(least, pa.list_(pa.int64())), *[pa.array(bits[:, k]) for k in range(len(SKETCH))]]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", *hashed])
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in sets_of(batch, 1):
+                # half of each hash is enough to compare two sets
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["h", "shingles"])
 
     texts = documents.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.mapInArrow(run, f"row_key long, doc_id {id_type}, shingles array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
-    rows = materialize(rows.select("row_key", "doc_id", F.xxhash64("shingles").alias("h"), F.size("shingles").alias("n"), "shingles", *SKETCH), "shingles")
+    rows = materialize(texts.mapInArrow(sign, f"row_key long, doc_id {id_type}, h long, n int, keys array<long>, " + ", ".join(f"{x} long" for x in SKETCH)), "signs")
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    k = F.expr(f"n - cast(ceil({similarity} * n - 1e-9) as int) + 2")
-    # rows of one set are one: keys and place of the first of them
-    sets = rows.select("h", "n", where.alias("place"), F.slice("shingles", 1, k).alias("keys")).groupBy("h").agg(F.min("place").alias("place"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.count("*").alias("copies"))
+    # rows of one set are one: its keys, and the place of the first of them
+    sets = rows.withColumn("place", where).groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in hashed[1:]])
     sets = materialize(sets, "sets")
 
     def facts_of(ends: DataFrame) -> DataFrame:
-        need = sets.join(ends, "h").select("h", F.col("place.row_key").alias("row_key"))
-        once = rows.join(need, ["h", "row_key"]).groupBy("h").agg(F.min("shingles").alias("shingles"), *[F.min(x).alias(x) for x in SKETCH])
-        return materialize(once, "facts")
+        need = materialize(sets.join(ends, "h").select("h", F.col("place.row_key").alias("row_key"), *SKETCH), "need")
+        some = keep_mapped(texts.select("row_key", "text"), "row_key", need.select("row_key")).join(need.select("row_key", "h"), "row_key").select("h", "text")
+        full = some.mapInArrow(whole_sets, "h long, shingles array<int>").groupBy("h").agg(F.min("shingles").alias("shingles"))
+        facts = materialize(full.join(need.select("h", *SKETCH), "h"), "facts")
+        release(need)
+        return facts
 
     def prove(links: DataFrame, facts: DataFrame) -> DataFrame:
         side = lambda c: facts.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
