@@ -22,14 +22,12 @@ from pyspark.sql import types as T
 
 from .common import read_table, text_or_empty
 
-#: Bytes of a window, windows of a neighbourhood, neighbourhoods that a feature must win.
-WINDOW, NEAR, WINS = 32, 24, 6
-#: A text of fewer bytes than this is too short for entropy to say much; its small windows are ranked by hash alone.
-SHORT, SHORT_WINDOW, SHORT_NEAR = 256, 8, 4
+#: Bytes of a window, windows of a neighbourhood, neighbourhoods that a feature must win: alike for texts of any length.
+WINDOW, NEAR, WINS = 8, 8, 3
 #: Bits of a filter, features in it, bits per feature; overlap below this share of the range counts as chance.
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS, CHANCE = 2048, 128, 5, 0.3
 #: Entropy of common windows of text, in bits, from which rarity is measured.
-USUAL = 3.9
+USUAL = 2.6
 #: Bytes handled at once within arrays, small enough for the processor's cache.
 STEP = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -71,15 +69,15 @@ def window_keys(x: np.ndarray) -> np.ndarray:
     entropy = np.int64(_SCALE * np.log2(WINDOW)) - repeats // WINDOW
     rarity = np.abs(entropy - np.int64(USUAL * _SCALE)) >> 14
     worth = np.uint64(511) - np.minimum(rarity, 511).astype(np.uint64)
-    return (worth << np.uint64(54)) | _window_hashes(x, WINDOW)
+    return (worth << np.uint64(54)) | _window_hashes(x)
 
 
-def _window_hashes(x: np.ndarray, width: int) -> np.ndarray:
+def _window_hashes(x: np.ndarray) -> np.ndarray:
     """54-bit hashes of all windows: differences of running polynomial sums, moved to position 0."""
     n = len(x)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers(n, int(_ODD)), out=sums[1:])
-    h = (sums[width:] - sums[:-width]) * _powers(n - width + 1, _INVERSE)
+    h = (sums[WINDOW:] - sums[:-WINDOW]) * _powers(n - WINDOW + 1, _INVERSE)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -98,28 +96,25 @@ def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def features(data: bytes) -> np.ndarray:
-    """Hashes of a text's features, in the order of the text, each once."""
+    """Keys of a text's features, in the order of the text, each once.
+
+    A text of less than a window is filled up with zeros; one of less than a neighbourhood is one neighbourhood.
+    """
     if not data:
         return np.zeros(0, np.uint64)
-    x = np.frombuffer(data, np.uint8)
-    if len(x) < SHORT:
-        if len(x) < SHORT_WINDOW:
-            return np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), np.uint64)
-        h = _window_hashes(x, SHORT_WINDOW)
-        return _once(_sliding_min(h, min(SHORT_NEAR, len(h))))
+    x = np.frombuffer(data.ljust(WINDOW, b"\0"), np.uint8)
     found = []
     lap = WINDOW + 2 * NEAR
     for at in range(0, len(x), STEP):
-        part = x[max(0, at - lap) : at + STEP]
-        if len(part) < WINDOW + NEAR:
-            continue
-        least = _sliding_min(window_keys(part), NEAR)
+        keys = window_keys(x[max(0, at - lap) : at + STEP])
+        least = _sliding_min(keys, min(NEAR, len(keys)))
         cuts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         runs = np.diff(np.concatenate([cuts, [len(least)]]))
         found.append(least[cuts[runs >= min(WINS, len(least))]])
     chosen = np.concatenate(found)
     if not len(chosen):
-        return np.array([window_keys(x).min()], np.uint64)
+        # nothing wins often enough: the rarest window of all
+        return np.array([min(window_keys(x[max(0, at - lap) : at + STEP]).min() for at in range(0, len(x), STEP))], np.uint64)
     return _once(chosen)
 
 
@@ -243,7 +238,7 @@ def fingerprint_documents(documents: DataFrame, text_col: str = "text", id_col:
     The edited text has its last third replaced by the start of the next
     document's, by descending id. Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. Null text counts as empty, with
-    an empty digest. Texts shorter than a short window have one feature, the whole text. Repeated rows follow one another. Other columns are ignored.
+    an empty digest. Texts of up to a window have one feature, the whole text. Repeated rows follow one another. Other columns are ignored.
     """
     dealt = with_next(documents, text_col=text_col, id_col=id_col)
     schema = f"doc_id {dealt.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

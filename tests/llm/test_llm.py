@@ -477,6 +477,40 @@ def test_digest_rows_without_id_follow_one_another(spark):
     assert dealt.filter("not tail").count() == 50
 
 
+def plain_features(data):
+    """Features by definition: entropies by counting, hashes byte by byte, minima by looking."""
+    w, mask = digests.WINDOW, 2**64 - 1
+    data = data.ljust(w, b"\0") if data else data
+    keys = []
+    for i in range(len(data) - w + 1 if data else 0):
+        part = data[i : i + w]
+        counts = [part.count(b) for b in set(part)]
+        entropy = int(2**20 * np.log2(w)) - sum(round(2**20 * c * np.log2(c)) for c in counts) // w
+        h = sum((b + 1) * pow(int(digests._ODD), j, 2**64) for j, b in enumerate(part)) & mask
+        h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & mask
+        rarity = min(511, abs(entropy - int(digests.USUAL * 2**20)) >> 14)
+        keys.append(((511 - rarity) << 54) | ((h ^ (h >> 29)) >> 10))
+    near = min(digests.NEAR, len(keys))
+    least = [min(keys[i : i + near]) for i in range(len(keys) - near + 1)] if keys else []
+    runs = [(k, len(list(g))) for k, g in itertools.groupby(least)]
+    chosen = [k for k, n in runs if n >= min(digests.WINS, len(least))] or ([min(keys)] if keys else [])
+    return list(dict.fromkeys(chosen))
+
+
+def test_features_equal_brute_force(documents):
+    texts = sorted((t or "" for t in texts_of(documents).values()), key=len)[:80]
+    texts += ["", "a", "abcdefg", "abcdefgh", "abcdefghi", "a" * 300, "日本語 ΣΑΣ 😀" * 3]
+    for t in texts:
+        assert digests.features(t.encode()).tolist() == plain_features(t.encode())
+
+
+def test_likeness_does_not_break_at_any_length(documents):
+    text = max((t for t in texts_of(documents).values() if t), key=len)[:3000]
+    for n in (100, 200, 250, 256, 257, 300, 400, 1000, 3000):
+        whole, cut = (digests.filters_of(digests.features(t.encode())) for t in (text[:n], text[: n - n // 3]))
+        assert digests.likeness(whole, cut) > 0.6
+
+
 def test_digest_likeness_and_parse():
     a = digests.filters_of(digests.features(b"the quick brown fox jumps over the lazy dog " * 3))
     assert digests.likeness(a, a) == 1.0
