@@ -7,7 +7,7 @@ depend on how rows happen to lie.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -124,6 +124,14 @@ class FrameTable:
             raise TypeError("sessions are set by a column, its name, or a map")
         return FrameTable(self.df.withColumn(name, column), self.schema.with_session(name))
 
+    def itersessions(self) -> Iterator[tuple[object, FrameTable]]:
+        """(label, rows of it) of one session after another; labels come to the driver a partition at a time."""
+        if self.schema.session is None:
+            raise ValueError("no session column is set")
+        label = q(self.schema.session)
+        for (name,) in self.df.select(label).distinct().toLocalIterator():
+            yield name, replace(self, df=self.df.filter(label.eqNullSafe(F.lit(name))))
+
     def append(self, other: FrameTable, session_id: object = None, axis: int = 0) -> FrameTable:
         """axis 0: union all by name, of equal sampling rates. axis 1: columns bound by the keys."""
         if axis == 0:
