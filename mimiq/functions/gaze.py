@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rotations import _let
+
 #: Points of the eye outlines and irises in the 478-point mesh.
 LEFT_EYE = (33, 7, 163, 144, 145, 153, 154, 155, 133, 246, 161, 160, 159, 158, 157, 173)
 RIGHT_EYE = (263, 249, 390, 373, 374, 380, 381, 382, 362, 466, 388, 387, 386, 385, 384, 398)
@@ -39,9 +41,13 @@ def _mean(points: Column, index: Sequence[int]) -> list[Column]:
     return [sum((F.element_at(points, i + 1)[a] for i in index[1:]), F.element_at(points, index[0] + 1)[a]) / len(index) for a in "xyz"]
 
 
-def _unit(v: Sequence[Column]) -> list[Column]:
-    size = F.greatest(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), F.lit(1e-12))
-    return [c / size for c in v]
+def _vector(x: Column, y: Column, z: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def _unit(v: Column) -> Column:
+    sized = _let(v, lambda u: F.struct(u.alias("u"), F.greatest(F.sqrt(u["x"] * u["x"] + u["y"] * u["y"] + u["z"] * u["z"]), F.lit(1e-12)).alias("size")))
+    return _let(sized, lambda s: _vector(*[s["u"][a] / s["size"] for a in "xyz"]))
 
 
 def estimate_gaze(points: Column, rotation: Column | None = None, left_eye: Sequence[int] = LEFT_EYE, right_eye: Sequence[int] = RIGHT_EYE) -> Column:
@@ -51,15 +57,17 @@ def estimate_gaze(points: Column, rotation: Column | None = None, left_eye: Sequ
     into the head's frame by the transpose.
     """
 
-    def eye(outline: Sequence[int], iris: Sequence[int]) -> list[Column]:
-        v = _unit([i - e for i, e in zip(_mean(points, iris), _mean(points, outline), strict=True)])
-        if rotation is not None:
-            v = _unit([sum((F.element_at(rotation, 3 * r + c + 1) * v[r] for r in (1, 2)), F.element_at(rotation, c + 1) * v[0]) for c in range(3)])
-        return v
+    def turned(v: Column) -> Column:
+        return _vector(*[sum((F.element_at(rotation, 3 * r + c + 1) * v["xyz"[r]] for r in (1, 2)), F.element_at(rotation, c + 1) * v["x"]) for c in range(3)])
+
+    def eye(outline: Sequence[int], iris: Sequence[int]) -> Column:
+        v = _unit(_vector(*[i - e for i, e in zip(_mean(points, iris), _mean(points, outline), strict=True)]))
+        return v if rotation is None else _unit(_let(v, turned))
 
-    left, right = eye(left_eye, LEFT_IRIS), eye(right_eye, RIGHT_IRIS)
-    both = _unit([(a + b) * 0.5 for a, b in zip(left, right, strict=True)])
-    return F.struct(*[vector_to_pitch_yaw(*v).alias(n) for n, v in (("left", left), ("right", right), ("combined", both))])
+    angles = lambda v: vector_to_pitch_yaw(v["x"], v["y"], v["z"])
+    half = lambda e: _unit(_vector(*[(e["l"][a] + e["r"][a]) * 0.5 for a in "xyz"]))
+    both = F.struct(eye(left_eye, LEFT_IRIS).alias("l"), eye(right_eye, RIGHT_IRIS).alias("r"))
+    return _let(both, lambda e: F.struct(angles(e["l"]).alias("left"), angles(e["r"]).alias("right"), _let(half(e), angles).alias("combined")))
 
 
 def pupil_offsets(pitch: Column, yaw: Column, scale: float = 15.0) -> Column:
