@@ -389,6 +389,19 @@ def test_density_labels_of_deep_trees():
     assert len(got) == 3000 and (got[::2] == got[1::2]).mean() > 0.9
 
 
+def test_distances_shuffle_few_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(identity, "BLOCK_ROWS", 4)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 3))
+    df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    copies = []
+    plain = identity._cells
+    monkeypatch.setattr(identity, "_cells", lambda *a: copies.append(plain(*a)) or copies[-1])
+    got = {(r["a"], r["b"]): r["distance"] for r in identity.pair_distances(df).collect()}
+    assert copies[0].count() <= 8 * 150
+    assert len(got) == 150 * 149 // 2 and all(v == pytest.approx(np.linalg.norm(x[a] - x[b])) for (a, b), v in got.items())
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (200, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
