@@ -317,6 +317,15 @@ def test_line_dedup_finds_all_that_edit_similarity_links(spark, dense):
     assert texts_of(lines.dedup_lines(df, distance=None, dense=dense)) == expected
 
 
+def test_line_dedup_finds_all_links_of_long_lines(spark):
+    # a fifth of the words replaced, those of the rarest (longest) pairs: the ten rarest of both lines have none in common
+    line = [f"u{k}" + "longer" * (k % 5 in (1, 2, 3)) for k in range(60)]
+    texts = [" ".join(line), " ".join(f"v{k}longer" if k % 5 == 2 else w for k, w in enumerate(line))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert texts_of(lines.dedup_lines(df, distance=None, keys=10)) == dict(enumerate(texts))
+    assert texts_of(lines.dedup_lines(df, distance=None)) == {0: texts[0], 1: ""}
+
+
 def test_line_dedup_drops_repeats_of_short_lines(spark):
     df = spark.createDataFrame([(1, "a b\n同じ文がここにある。\n!!!\n\nMenu"), (2, "A, b\n同じ文がここにある\n!!!\n\nmenu\nb a")], "doc_id long, text string")
     assert texts_of(lines.dedup_lines(df, distance=None, exact_short=True)) == {1: "a b\n同じ文がここにある。\n!!!\n\nMenu", 2: "!!!\n\nb a"}
