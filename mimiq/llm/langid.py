@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, in_groups, read_table, text_or_empty
+from .common import Memo, held, in_groups, read_table, text_or_empty
 
 UNKNOWN = "und"
 #: Words in a block of the Viterbi pass; blocks run side by side.
@@ -41,7 +41,6 @@ SCRIPTS = (
     ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF),
     ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
-_SCORERS: dict[str, Scorer] = {}
 
 
 def words_of(text: str) -> list[str]:
@@ -215,17 +214,15 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: t
     """
     shipped, key = documents.sparkSession.sparkContext.broadcast(model), model_digest(model)
     kept = [documents.schema[c] for c in keep]
+    at = keep.index(text_col) if text_col in keep else len(keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"]) + ", spans array<struct<first:int,end:int,lang:string>>" * with_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shipped.value)
-        scorer = _SCORERS[key]
+        scorer = held(("languages", key), lambda: Scorer(shipped.value))
         names = scorer.model.languages
         for batch in batches:
             langs, scores, spans = [], [], []
-            for group in in_groups((t.as_py() for t in batch.column(len(kept))), 1 << 19):
+            for group in in_groups((t.as_py() or "" for t in batch.column(at)), 1 << 19):
                 for words, labels, told in scorer.label(group) if names else [((), None, False)] * len(group):
                     if not words:
                         langs.append(UNKNOWN)
@@ -245,7 +242,8 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text", keep: t
                 labels_.append("spans")
             yield pa.RecordBatch.from_arrays(columns, names=labels_)
 
-    return documents.select(*[F.col(c) for c in keep], text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
+    # a text that is kept is sent once
+    return documents.select(*[F.col(c) for c in keep], *([] if text_col in keep else [F.col(text_col).alias("__text")])).mapInArrow(run, schema)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, in_groups, materialize, read_table, text_or_empty
+from .common import Memo, held, in_groups, materialize, read_table, text_or_empty
 
 END_ID = 1
 #: Entries of a generation of a worker's memo of words.
@@ -33,7 +33,6 @@ _ODD = re.compile("[^\t\n\r -~¡-©«-±´¶-¸»¿-įı-ſ]")
 #: The word pattern of the vocabulary file's pre-tokenizer, for lower-case text without odd characters.
 _WORD = re.compile("[a-zß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
 _BLANKS = re.compile("[ \t\n\r]+")
-_ENCODERS: dict[int, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -165,10 +164,7 @@ def token_pieces(documents: DataFrame, vocabulary: str, max_tokens: int = 2048,
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = zlib.crc32(shipped.value.encode())
-        if key not in _ENCODERS:
-            _ENCODERS[key] = WordEncoder(shipped.value)
-        encoder = _ENCODERS[key]
+        encoder = held(("words", zlib.crc32(shipped.value.encode())), lambda: WordEncoder(shipped.value))
         for batch in batches:
             who, start, length, crc, total = [], [], [], [], []
             texts = (t.as_py() for t in batch.column(1))
