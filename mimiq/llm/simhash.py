@@ -251,19 +251,38 @@ def shingles_of(text: str, words_per_shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + words_per_shingle]), SEED) for k in range(last)], np.uint64).view(np.int64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def alike_by_fingerprint(sets: DataFrame, distance: int = 2) -> DataFrame:
+    """Candidates (a, b), a < b, of rows (h, fp): each with the least h of its fingerprint, and those leads of linked fingerprints."""
+    fps = materialize(sets.groupBy("fp").agg(F.min("h").alias("lead"), F.count("*").alias("copies")), "fps")
+    lead = lambda c: fps.select(F.col("fp").alias(c), F.col("lead").alias(f"h{c}"))
+    far = link_fingerprints(fps, distance).join(lead("a"), "a").join(lead("b"), "b").select("ha", "hb")
+    same = join_split(sets.select("h", "fp"), fps.filter("copies > 1"), "fp", "copies").select(F.col("h").alias("ha"), F.col("lead").alias("hb"))
+    both = far.unionByName(same).filter("ha != hb")
+    found = materialize(both.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct(), "alike-fps")
+    release(fps)
+    return found
+
+
 def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id", dense: int = 8, keys: int = 12) -> DataFrame:
     """(row_key, doc_id, component, first) of every row: rows of a component are linked by the Jaccard similarity of word shingles.
 
     row_key is a hash of id and text, so rows that repeat both share it. first
     is whether the row's key is that of the component's row of least doc_id (null ids come last), then least key.
-    Sets alike share two of the ``keys`` least hashes of each, but for two pairs in ten
-    million by the chance of the hash (sets of up to 50 shingles: always); these are candidates, and whole sets are compared.
+    Candidates are, by generalised pigeonhole search, sets whose SimHashes link within 2 bits. Few sets alike
+    are that near, so there is a second way for the rest: sets alike share two of the ``keys`` least hashes of each, but for two pairs in ten
+    million by the chance of the hash (sets of up to 50 shingles: always). Of all candidates whole sets are compared.
     Texts without words, null ones among them, are alike. An empty table gives no rows; other columns are ignored.
     """
     if similarity < 0.8:
         raise ValueError("candidates are found by two shared shingles from a similarity of 0.8 on")
     id_type = documents.schema[id_col].dataType.simpleString()
-    hashed = ["h", "n", "keys", *SKETCH]
+    hashed = ["h", "fp", "n", "keys", *SKETCH]
 
     def sets_of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         for k in range(0, len(batch), 256):
@@ -276,7 +295,7 @@ def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity
                 bits = np.array([sketch_of(s) for s in sets], np.uint64).reshape(-1, len(SKETCH)).view(np.int64)
                 whole = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 least = [s[: min(keys, len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 2)] for s in sets]
-                columns = [part.column(0), part.column(1), pa.array(whole), pa.array([len(s) for s in sets], pa.int32()), pa.array(least, pa.list_(pa.int64())), *[pa.array(bits[:, k]) for k in range(len(SKETCH))]]
+                columns = [part.column(0), part.column(1), pa.array(whole), pa.array([set_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(least, pa.list_(pa.int64())), *[pa.array(bits[:, k]) for k in range(len(SKETCH))]]
                 yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", *hashed])
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +305,7 @@ def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["h", "shingles"])
 
     texts = documents.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(sign, f"row_key long, doc_id {id_type}, h long, n int, keys array<long>, " + ", ".join(f"{x} long" for x in SKETCH)), "signs")
+    rows = materialize(texts.mapInArrow(sign, f"row_key long, doc_id {id_type}, h long, fp long, n int, keys array<long>, " + ", ".join(f"{x} long" for x in SKETCH)), "signs")
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     # rows of one set are one: its keys, and the place of the first of them
     sets = rows.withColumn("place", where).groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in hashed[1:]])
@@ -307,13 +326,14 @@ def alike_documents(documents: DataFrame, words_per_shingle: int = 5, similarity
         return materialize(links.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), "proved")
 
     turns = f"cast(floor((na + nb) * {(1 - similarity) / (1 + similarity)} + 1e-9) as int)"
-    proved = alike_pairs(sets.filter("n > 1").select("h", "n", "keys"), similarity, dense, facts_of, prove, turns)
+    near = alike_by_fingerprint(sets.filter("n > 1").select("h", "fp"))
+    proved = alike_pairs(sets.filter("n > 1").select("h", "n", "keys"), similarity, dense, facts_of, prove, turns, near)
     comps = connected_components(proved).select(F.col("node").alias("h"), "component")
     known = materialize(sets.join(comps, "h", "left").select("h", "place", "copies", F.coalesce("component", "h").alias("component")), "known")
     named = known.groupBy("component").agg(F.min("place").alias("least")).select("component", F.col("least.row_key").alias("first_key"))
     label = materialize(join_split(known.select("h", "component", "copies"), named, "component"), "label")
     out = materialize(join_split(rows.select("row_key", "doc_id", "h"), label, "h", "copies").select("row_key", "doc_id", "component", (F.col("row_key") == F.col("first_key")).alias("first")), "alike")
-    release(rows, sets, proved, known, label)
+    release(rows, sets, near, proved, known, label)
     return out
 
 

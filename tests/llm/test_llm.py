@@ -211,6 +211,19 @@ def test_near_stage_finds_all_that_shingles_link(spark, dense):
         assert {r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()} == set(comp.values())
 
 
+def test_near_stage_searches_by_simhash(spark):
+    rng = random.Random(6)
+    sets = [np.unique(np.array([rng.getrandbits(63) for _ in range(40)], np.int64)) for _ in range(30)]
+    sets += [np.append(s, rng.getrandbits(63)) for s in sets] + [sets[0][:-1]]
+    fps = [simhash.set_fingerprint(s) for s in sets]
+    bit = lambda s, k: 2 * sum(int(h) >> k & 1 for h in s) > len(s)
+    assert all((f >> k & 1) == bit(s, k) for s, f in zip(sets, fps, strict=True) for k in range(64))
+    got = simhash.alike_by_fingerprint(spark.createDataFrame([*enumerate(fps), (99, fps[0])], "h long, fp long").localCheckpoint()).collect()
+    linked = {(r["a"], r["b"]) for r in got} | {(r["b"], r["a"]) for r in got}
+    all_fps = dict([*enumerate(fps), (99, fps[0])])
+    assert brute_components(sorted(all_fps), lambda a, b: (a, b) in linked) == brute_components(sorted(all_fps), lambda a, b: ((all_fps[a] ^ all_fps[b]) & (2**64 - 1)).bit_count() <= 2)
+
+
 def test_near_stage_keeps_different_texts_of_null_and_repeated_ids(spark):
     import corpus_pipeline
 
