@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -339,6 +340,28 @@ def test_line_dedup_finds_all_links_of_long_lines(spark):
     assert texts_of(lines.dedup_lines(df, distance=None)) == {0: texts[0], 1: ""}
 
 
+def test_line_pairs_share_two_keys_of_small_or_large_groups(spark):
+    # keys 1, 2, 3 are large (over 3 lines), 4 and 5 small
+    keys = {1: [1, 2, 10], 2: [1, 2, 11], 3: [1, 4], 4: [1, 4, 12], 5: [2, 5, 3], 6: [4, 5], 7: [3, 5, 4], 8: [2, 3], 9: [3, 13]}
+    table = spark.createDataFrame([(h, 10, k) for h, k in keys.items()], "h long, n int, keys array<long>")
+    links, many = lines.candidate_pairs(table, 0.8, dense=3)
+    expected = {(a, b) for a in keys for b in keys if a < b and len({*keys[a]} & {*keys[b]}) > 1}
+    assert {(r["a"], r["b"]) for r in links.collect()} == expected and many.isEmpty()
+
+
+def test_line_dedup_leaves_no_shuffle_files_behind(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {p for p in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p}
+    before = shuffled()
+    table = spark.range(200).groupBy((F.col("id") % 50).alias("key")).count()
+    lines.release(lines.write_once(table, "test"))
+    untidy = shuffled()
+    assert untidy - before
+    lines.release(lines.materialize(table, "test"))
+    time.sleep(2)
+    assert not shuffled() - untidy
+
+
 def test_line_dedup_drops_repeats_of_short_lines(spark):
     df = spark.createDataFrame([(1, "a b\n同じ文がここにある。\n!!!\n\nMenu"), (2, "A, b\n同じ文がここにある\n!!!\n\nmenu\nb a")], "doc_id long, text string")
     assert texts_of(lines.dedup_lines(df, distance=None, exact_short=True)) == {1: "a b\n同じ文がここにある。\n!!!\n\nMenu", 2: "!!!\n\nb a"}
