@@ -349,6 +349,59 @@ def test_line_pairs_share_two_keys_of_small_or_large_groups(spark):
     assert {(r["a"], r["b"]) for r in links.collect()} == expected and many.isEmpty()
 
 
+def test_line_keys_of_a_common_passage_come_last(spark):
+    # forty lines share a passage of twelve words and are not alike; the last two are, by the passage too
+    passage = " ".join(f"passage{k}longest" for k in range(12))
+    texts = [f"{' '.join(f'w{k}x{j}' for j in range(20))} {passage}" for k in range(40)]
+    texts.append(texts[-1].replace("w39x3 ", "other ").replace("passage5longest", "changed"))
+    split = spark.createDataFrame(list(enumerate(texts)), "h long, line string").withColumn("words", lines.line_words(F.col("line"))).withColumn("n", F.size("words"))
+    keyed = split.select("h", "n", lines.counted_pairs(lines.rare_pairs(F.col("words"), 0.8, None)).alias("keys"))
+    asked = []
+
+    def again(crowd, large):
+        out = lines.reordered_keys(split.select("h", "line").join(crowd.select("h"), "h"), large, 0.8)
+        asked.extend(out.collect())
+        return out
+
+    links, many = lines.candidate_pairs(lines.materialize(keyed, "test"), 0.8, 10, again)
+    assert len(asked) == 41 and {(r["a"], r["b"]) for r in links.collect()} == {(39, 40)} and many.isEmpty()
+    # without it all of them meet
+    assert lines.candidate_pairs(lines.materialize(keyed, "test"), 0.8, 10)[1].count() > 41
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert texts_of(lines.dedup_lines(df, distance=None, dense=10)) == dict(enumerate([*texts[:-1], ""]))
+
+
+def test_near_copies_of_a_line_meet_by_rows_in_proportion_to_keys(spark):
+    rng = random.Random(5)
+    base = [f"word{k}" for k in range(40)]
+    texts = []
+    for k in range(60):
+        line = list(base)
+        for at in rng.sample(range(40), k % 14):
+            line[at] = f"edit{k}x{at}"
+        texts.append(line)
+    split = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "h long, line string")
+    keyed = lines.reordered_keys(split, spark.range(0).select(F.col("id").alias("key")), 0.8)
+    _, many = lines.candidate_pairs(keyed, 0.8, 10, lambda crowd, large: lines.reordered_keys(split.join(crowd.select("h"), "h"), large, 0.8))
+    assert many.count() <= 60 and many.select(F.max(F.size("subs"))).first()[0] <= 18
+    comp = brute_components(range(60), lambda a, b: word_edits(texts[a], texts[b]) <= 8)
+    assert len(set(comp.values())) > 1
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    assert texts_of(lines.dedup_lines(df, distance=None, dense=10)) == {k: " ".join(w) if comp.get(k, k) == k else "" for k, w in enumerate(texts)}
+
+
+def test_line_sketches_of_lines_alike_are_within_their_turns(spark):
+    texts = [tuple(t.split()) for t in edited_lines(3, 14, 6)]
+    split = spark.createDataFrame([(k, list(w), len(w)) for k, w in enumerate(texts)], "h long, words array<string>, n int")
+    signed = split.select("h", "n", *lines.sketch(F.transform("words", lambda w: F.xxhash64(w)), lines.FINE))
+    bits = {r["h"]: [r[x] % 2**64 for x in lines.FINE] for r in signed.collect()}
+    rows = [(a, b, len(texts[a]), len(texts[b])) for a in bits for b in bits if a < b]
+    most = {(r["a"], r["b"]): r["t"] for r in spark.createDataFrame(rows, "a long, b long, na int, nb int").withColumn("t", F.expr(lines.turns(0.8))).collect()}
+    alike = [(a, b) for a, b, na, nb in rows if 5 * word_edits(texts[a], texts[b]) <= max(na, nb)]
+    assert len(alike) > 50 and any(len(texts[a]) != len(texts[b]) for a, b in alike)
+    assert all(sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) <= most[a, b] for a, b in alike)
+
+
 def test_line_dedup_leaves_no_shuffle_files_behind(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {p for p in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p}
