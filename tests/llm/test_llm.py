@@ -390,6 +390,25 @@ def test_near_copies_of_a_line_meet_by_rows_in_proportion_to_keys(spark):
     assert texts_of(lines.dedup_lines(df, distance=None, dense=10)) == {k: " ".join(w) if comp.get(k, k) == k else "" for k, w in enumerate(texts)}
 
 
+def test_lines_of_a_large_group_meet_once_however_many_keys_they_share(spark, monkeypatch):
+    # five lines, three keys, no two lines connected; 4 lacks the least key; 5 lacks all
+    subs = {1: [7, 8, 9], 2: [7, 8, 9], 3: [7, 8, 9], 4: [8, 9], 5: [6]}
+    rows = [(sub, 1 if h < 5 else 5, h, 10, h, *[0] * 16, keys) for h, keys in subs.items() for sub in keys]
+    named = spark.createDataFrame(rows, "sub long, main long, h long, n int, component long, " + ", ".join(f"{x} long" for x in lines.FINE) + ", subs array<long>")
+    # no row comes twice, without distinct() as well
+    monkeypatch.setattr(type(named), "distinct", lambda self: self)
+    got = [(r["a"], r["b"]) for r in lines.unconnected_pairs(named, 0.8, lines.turns(0.8), lines.FINE).collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def test_line_keys_are_gone_when_pairs_are_made(spark, monkeypatch):
+    keyed = lines.materialize(spark.createDataFrame([(h, 10, [1, 2, h + 10]) for h in range(6)], "h long, n int, keys array<long>"), "test")
+    at, make, seen = keyed._written_at.removeprefix("file:").replace("//", "/"), lines.materialize, {}
+    monkeypatch.setattr(lines, "materialize", lambda df, tag: (seen.setdefault(tag, os.path.exists(at)), make(df, tag))[1])
+    links, many = lines.candidate_pairs(keyed, 0.8, 10, spent=(keyed,))
+    assert links.count() == 15 and many.isEmpty() and seen["sizes"] and not seen["paired"]
+
+
 def test_line_sketches_of_lines_alike_are_within_their_turns(spark):
     texts = [tuple(t.split()) for t in edited_lines(3, 14, 6)]
     split = spark.createDataFrame([(k, list(w), len(w)) for k, w in enumerate(texts)], "h long, words array<string>, n int")
